@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .simhash import op5_simhash
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 SQL = {

@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mix
+from .secrets import op6_secrets
 from .simhash import op5_simhash
 from .token_store import op8_token_store
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op7_mix": op7_mix,
     "op8_token_store": op8_token_store,
     "op10_bpe": op10_bpe,

@@ -8,9 +8,11 @@ from .mixing import OP7_SQL, op7_mix
 from .secrets import op6_secrets
 from .simhash import op5_simhash
 from .token_store import op8_token_store
+from .weighted_sampling import op2_fingerprints
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_mix": op7_mix,

@@ -13,71 +13,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: A token with a digit is a variable field. The look-behind keeps the scan linear on long tokens.
-_FIELD = r"(?:(?<=[ \t\x0B\f\r])|^)[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*"
+_FIELD = r"(?:(?<= )|^)[^ 0-9]*+[0-9][^ ]*"
 _GAP = r"[ \t\x0B\f\r]+"
+#: Bits of the filter that spares the shuffle of lines whose leaf is unique: 16 MB at any size.
+_FILTER_BITS = 1 << 27
 
 
 def _masked(line: Column) -> Column:
-    flat = F.regexp_replace(line, f"^{_GAP}|{_GAP}$", "")
-    return F.regexp_replace(F.regexp_replace(flat, _FIELD, "<*>"), _GAP, " ")
+    """The line with single blanks between tokens and ``<*>`` for tokens with digits."""
+    flat = F.btrim(line, F.lit(" \t\x0b\f\r"))
+    flat = F.when(flat.rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(flat, _GAP, " ")).otherwise(flat)
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, _FIELD, "<*>")).otherwise(flat)
 
 
-def template_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.75) -> DataFrame:
-    """One row for each line: ``doc_id, key, line_no, dropped``."""
-    lines = (
-        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .withColumn("masked", _masked(F.col("line")))
-        .withColumn("n", F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1))
-    )
-    # A blank line has a path of its own, so that no key gathers them.
-    path = F.xxhash64("n", F.substring_index("masked", " ", depth))
-    lines = lines.withColumns(
-        {
-            "leaf": F.when(F.col("n") > 0, path).otherwise(F.xxhash64("key", "line_no")),
-            "own": F.when(F.col("n") > 0, F.xxhash64("masked")).otherwise(F.xxhash64("line_no", "key")),
-        }
+def _lines(docs: DataFrame) -> DataFrame:
+    # Masked before the lines are rows: no filter on a line can then repeat the masking.
+    masked = F.transform(F.split("text", "\n"), _masked)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(masked).alias("line_no", "masked"))
+
+
+_N = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+
+
+def _leaf(n: Column, depth: int) -> Column:
+    return F.xxhash64(n, F.substring_index("masked", " ", depth))
+
+
+def _with_some_member(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``lines`` without most of those whose leaf isn't in ``leaves``, by a bitmap of fixed size."""
+    place = F.pmod("leaf", F.lit(_FILTER_BITS))
+    bits = leaves.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    hit = F.expr(
+        f"cast(conv(hex(substring(map, cast(bitmap_bit_position(pmod(leaf, {_FILTER_BITS})) / 8 AS int) + 1, 1)), 16, 10) AS int)"
+        f" & shiftleft(1, cast(bitmap_bit_position(pmod(leaf, {_FILTER_BITS})) % 8 AS int)) <> 0"
     )
+    return lines.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "bucket").where(hit).drop("bucket", "map")
+
+
+def template_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) -> DataFrame:
+    """One row for each line: ``doc_id, key, line_no, dropped``."""
+    lines = _lines(docs).withColumn("n", F.when(F.col("masked") == "", 0).otherwise(_N))
+    # A blank line stands alone, so that no key gathers them.
+    own = F.when(F.col("n") > 0, F.xxhash64("masked")).otherwise(F.xxhash64("line_no", "key"))
+    slim = materialise(lines.select("doc_id", "key", "line_no", own.alias("own"), F.when(F.col("n") > depth, _leaf(F.col("n"), depth)).alias("leaf")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line_no")
     who = F.struct("doc_id", "key")
-    slim = lines.select("doc_id", "key", "line_no", "leaf", "own")
-    seen = slim.groupBy("leaf", "own").agg(F.min(place).alias("first"), F.min(who).alias("lo"), F.max(who).alias("hi"))
     # Leaves of several texts: only their lines are looked at token by token.
-    wide = (
-        lines.where(F.col("n") > depth)
-        .groupBy("leaf")
-        .agg(F.min("own").alias("x"), F.max("own").alias("y"))
-        .where("x <> y")
-        .select("leaf")
-    )
-    texts = lines.where(F.col("n") > depth).join(wide, "leaf", "left_semi").groupBy("leaf", "own", "n").agg(F.first("masked").alias("masked"))
-    tokens = texts.select("leaf", "own", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")).where(F.col("at") >= depth)
-    tokens = tokens.withColumn("cell", F.xxhash64("leaf", "at", "token"))
+    wide = slim.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("leaf")
+    wide = materialise(wide, "leaves")
+    candidates = _with_some_member(lines.where(F.col("n") > depth).select("masked", "n", _leaf(F.col("n"), depth).alias("leaf")), wide)
+    # An inner join: a semi-join would be pushed below the filter.
+    texts = candidates.join(wide, "leaf").select("leaf", "masked", "n").distinct()
+    tokens = texts.select("leaf", F.xxhash64("masked").alias("own"), F.ceil(F.col("n") * F.lit(float(similarity))).cast("int").alias("need"), F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    tokens = materialise(tokens.where(F.col("at") >= depth).select(F.xxhash64("leaf", "at", "token").alias("cell"), "own", "need", "at"), "tokens")
     kept = tokens.groupBy("cell").count().where("count > 1").select("cell")
-    shape = F.expr("sort_array(collect_list(struct(at, cell)))")
     general = (
         tokens.join(kept, "cell", "left_semi")
-        .groupBy("leaf", "own", "n")
-        .agg(shape.alias("shape"))
-        .where((F.size("shape") + depth) >= F.col("n") * F.lit(float(similarity)))
-        .select("leaf", "own", F.xxhash64("leaf", "shape").alias("template"))
-    )
-    named = seen.join(general, ["leaf", "own"], "left").withColumn("template", F.coalesce("template", "own"))
-    recurring = (
-        named.groupBy("leaf", "template")
-        .agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where("lo <> hi")
-        .select("leaf", "template", "first")
-    )
-    drop = named.select("leaf", "own", "template").join(recurring, ["leaf", "template"]).select("leaf", "own", "first")
-    return slim.join(drop, ["leaf", "own"], "left").select(
-        "doc_id", "key", "line_no", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)).alias("dropped")
+        .groupBy("own", "need")
+        .agg(F.expr("sort_array(collect_list(struct(at, cell)))").alias("shape"))
+        .where(F.size("shape") + depth >= F.col("need"))
+        .select("own", F.xxhash64("shape").alias("template"))
     )
+    seen = slim.groupBy("own").agg(F.min(place).alias("first"), F.min(who).alias("lo"), F.max(who).alias("hi"))
+    named = seen.join(general, "own", "left").withColumn("template", F.coalesce("template", "own"))
+    named = materialise(named, "named")
+    recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("template", "first")
+    drop = named.select("own", "template").join(recurring, "template").select("own", "first")
+    return slim.join(drop, "own", "left").select("doc_id", "key", "line_no", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.75) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) -> DataFrame:
     """``docs`` with recurring templates cut from ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Every row stays and other columns pass unchanged; ``n_chars``, if there, is the new length.
@@ -112,14 +121,14 @@ WITH lines AS (
          '[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS own, line
   FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), t AS (
-  SELECT *, CASE WHEN own = '' THEN 0 ELSE len(string_split(own, ' ')) END AS n, array_to_string(string_split(own, ' ')[1:3], ' ') AS head FROM lines
-), texts AS (SELECT DISTINCT n, head, own FROM t WHERE n > 3
+  SELECT *, CASE WHEN own = '' THEN 0 ELSE len(string_split(own, ' ')) END AS n, array_to_string(string_split(own, ' ')[1:4], ' ') AS head FROM lines
+), texts AS (SELECT DISTINCT n, head, own FROM t WHERE n > 4
 ), tokens AS (
   SELECT n, head, own, unnest(string_split(own, ' ')) AS token, unnest(range(n)) AS pos FROM texts
-), kept AS (SELECT n, head, pos, token FROM tokens WHERE pos >= 3 GROUP BY ALL HAVING count(*) > 1
+), kept AS (SELECT n, head, pos, token FROM tokens WHERE pos >= 4 GROUP BY ALL HAVING count(*) > 1
 ), general AS (
   SELECT n, head, own, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS template
-  FROM tokens JOIN kept USING (n, head, pos, token) GROUP BY n, head, own HAVING count(*) + 3 >= n * 0.75
+  FROM tokens JOIN kept USING (n, head, pos, token) GROUP BY n, head, own HAVING count(*) + 4 >= n * 0.75
 ), named AS (SELECT t.*, coalesce('g' || template, 'o' || own) AS template FROM t LEFT JOIN general USING (n, head, own)
 ), recurring AS (
   SELECT n, head, template, min(struct_pack(d := doc_id, l := line_no)) AS first FROM named WHERE n > 0

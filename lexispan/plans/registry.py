@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for part in (text_queries,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL

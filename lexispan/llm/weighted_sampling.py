@@ -16,55 +16,53 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-SAMPLES = 32
-_GAP = r"[\x09-\x0D\x20]+"
+SAMPLES = 24
 _UNIT = 2.0**-32
-_LN2 = math.log(2)
+_AT_ONCE = 4
 #: A text without words has this in place of every sample.
 NONE = "0" * 8
 
 
-def _low(h: str) -> str:
-    return f"({h} & 4294967295L)"
-
-
-def _exponential(h: str) -> str:
-    """Exp(1) from a 64-bit digest: a geometric number of halvings, and -ln of a uniform in [1/2, 1) by its atanh series.
-
-    ``z`` below is (m - g) / (m + g) for m in [1/2, 1) and g = sqrt(1/2), so that |z| < 0.172
-    and the terms left out are below 1e-7.
-    """
-    g = math.sqrt(0.5)
-    m = f"(0.5D + {_UNIT / 2!r}D * {_low(f'shiftrightunsigned({h}, 32)')})"
-    z = f"(({m} - {g!r}D) / ({m} + {g!r}D))"
-    zeros = f"bit_count((({_low(h)} | 4294967296L) & (-({_low(h)} | 4294967296L))) - 1L)"
-    zz = f"{z} * {z}"
-    return f"({_LN2!r}D * {zeros} - {math.log(g)!r}D - 2D * {z} * (1D + {zz} * ({1 / 3!r}D + {zz} * (0.2D + {zz} * {1 / 7!r}D))))"
-
-
-def sample(k: int) -> Column:
-    """The smallest term's name for sample ``k``, over rows with ``term`` (long) and ``ln_w``."""
-    h = [f"xxhash64(term, {5 * k + i})" for i in range(5)]
-    r = f"({_exponential(h[0])} + {_exponential(h[1])})"
-    c = f"({_exponential(h[2])} + {_exponential(h[3])})"
-    b = f"({_UNIT!r}D * {_low(h[4])})"
-    t = f"floor(ln_w / {r} + {b})"
-    value = f"{c} * exp(-{r} * ({t} - {b} + 1D))"
-    return F.expr(f"min_by(xxhash64(term, {t}), {value})").alias(f"s{k}")
+def _uniform(h: str, high: bool) -> str:
+    """A uniform in (0, 1] from half of the 64-bit digest ``h``."""
+    half = f"shiftrightunsigned({h}, 32)" if high else f"({h} & 4294967295L)"
+    return f"({_UNIT!r}D * ({half} + 1L))"
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES, text: str = "text") -> DataFrame:
     """``keys, fingerprint`` for every text that has words, eight hexadecimal digits a sample.
 
     Rows that agree in ``keys`` count as one text. If ``texts`` is dealt out by some of the
-    keys, nothing is shuffled: terms are counted where their text is.
+    keys, nothing is shuffled: terms are counted where their text is. Samples are drawn
+    ``_AT_ONCE`` at a time, so that the code that Spark makes stays small enough to be compiled.
     """
-    words = texts.select(*keys, F.explode(F.split(text, _GAP)).alias("word")).where("word <> ''")
+    flat = F.col(text)
+    for gap in "\t\n\x0b\x0c\r":
+        flat = F.replace(flat, F.lit(gap), F.lit(" "))  # a split at one plain character needs no regex
+    words = texts.select(*keys, F.explode(F.split(flat, " ")).alias("word")).where("word <> ''")
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("w"))
-    weighed = terms.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("ln_w"))
-    drawn = weighed.groupBy(*keys).agg(*[sample(k) for k in range(samples)])
-    hexes = [F.lower(F.substring(F.lpad(F.hex(f"s{k}"), 16, "0"), 9, 8)) for k in range(samples)]
-    return drawn.select(*keys, F.concat(*hexes).alias("fingerprint"))
+    rounds = F.array(*[F.lit(g) for g in range(-(-samples // _AT_ONCE))])
+    each = range(_AT_ONCE)
+    drawn = terms.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("ln_w"), F.explode(rounds).alias("g"))
+    drawn = drawn.select("*", *[F.xxhash64("term", "g", F.lit(3 * j + i)).alias(f"h{j}_{i}") for j in each for i in range(3)])
+    gamma = lambda h: f"-ln({_uniform(h, True)} * {_uniform(h, False)})"
+    drawn = drawn.select(
+        *keys, "g", "term", "ln_w",
+        *[F.expr(gamma(f"h{j}_0")).alias(f"r{j}") for j in each],
+        *[F.expr(gamma(f"h{j}_1")).alias(f"c{j}") for j in each],
+        *[F.expr(_uniform(f"h{j}_2", True)).alias(f"b{j}") for j in each],
+    )
+    drawn = drawn.select("*", *[F.expr(f"floor(ln_w / r{j} + b{j})").alias(f"t{j}") for j in each])
+    drawn = drawn.select(
+        *keys, "g",
+        *[F.xxhash64("term", f"t{j}").alias(f"n{j}") for j in each],
+        *[F.expr(f"c{j} * exp(-r{j} * (t{j} - b{j} + 1D))").alias(f"v{j}") for j in each],
+    )
+    least = drawn.groupBy(*keys, "g").agg(*[F.min_by(f"n{j}", f"v{j}").alias(f"s{j}") for j in each])
+    hexes = [F.lower(F.substring(F.lpad(F.hex(f"s{j}"), 16, "0"), 9, 8)) for j in each]
+    part = least.select(*keys, "g", F.concat(*hexes).alias("part"))
+    whole = [F.max(F.when(F.col("g") == g, F.col("part"))) for g in range(-(-samples // _AT_ONCE))]
+    return part.groupBy(*keys).agg(F.left(F.concat(*whole), F.lit(8 * samples)).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:

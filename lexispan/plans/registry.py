@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import analytics_queries, guard_queries, recall_queries, text_queries
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (text_queries,):
+for part in (text_queries, recall_queries, guard_queries, analytics_queries):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -177,11 +177,11 @@ def alias_map(spark, sf):
 
 
 
-@query(f"""WITH links AS (SELECT p_type AS key, CASE WHEN p_size > 45 THEN 'z' ELSE left(md5(p_type), 1) END AS entry_id, count(*) AS n FROM part GROUP BY 1, 2),
+@query(f"""WITH links AS (SELECT p_type AS key, CASE WHEN p_size > 45 AND left(md5(p_type), 1) < '8' THEN 'z' ELSE left(md5(p_type), 1) END AS entry_id, count(*) AS n FROM part GROUP BY 1, 2),
   s AS (SELECT key, min(entry_id) AS entry_id, sum(n) AS n FROM links GROUP BY 1 HAVING count(DISTINCT entry_id) = 1)
   SELECT key, first_value(key) OVER (PARTITION BY entry_id ORDER BY n DESC, key) AS anchor FROM s""")
 def kb_merge(spark, sf):
-    entry = F.when(F.col("p_size") > 45, "z").otherwise(F.left(F.md5("p_type"), F.lit(1)))
+    entry = F.when((F.col("p_size") > 45) & (F.left(F.md5("p_type"), F.lit(1)) < "8"), "z").otherwise(F.left(F.md5("p_type"), F.lit(1)))
     links = read(spark, sf, "part").groupBy(F.col("p_type").alias("key"), entry.alias("entry_id")).agg(F.count("*").alias("n"))
     return S.kb_merge(links)
 
@@ -475,3 +475,11 @@ def gold_validate(spark, sf):
 @query("SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('13|' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k <= 50")
 def sample_stratified(spark, sf):
     return E.stratified_sample(read(spark, sf, "orders"), "o_orderpriority", "o_orderkey", 50).select("o_orderkey", "o_orderpriority")
+
+
+@query()
+def extract(spark, sf):
+    """Emitted mentions of the whole corpus, through every stage."""
+    from .pipeline import extract as run
+
+    return run(docs(spark, sf)).mentions.select("doc_id", "start", "end", "surface", "type", F.round("confidence", 6).alias("confidence"))

@@ -29,7 +29,7 @@ from .common import materialise, table
 END = 0
 #: Ids a segment holds, unless one document has more; segments end with a document.
 SEGMENT_IDS = 1 << 20
-REMEMBERED = 700_000
+REMEMBERED = 900_000
 _BLOCK = 512
 
 
@@ -147,18 +147,28 @@ class WordTokenizer:
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        pieces = [None if any(a in t for a in self.added) else words_of(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = set()
-        for words in pieces:
-            if words:
-                new.update(words)
-        new.difference_update(self.known)
+        get, rows, new = self.known.get, [], set()
+        for t in texts:
+            if any(a in t for a in self.added):
+                rows.append(None)  # an added token's string: the library takes the whole text
+                continue
+            words = words_of(t)
+            found = list(map(get, words))
+            gaps = [i for i, f in enumerate(found) if f is None] if None in found else ()
+            new.update(words[i] for i in gaps)
+            rows.append((words, found, gaps))
         if new:
             self.learn(list(new))
-        for text, words in zip(texts, pieces, strict=True):
-            yield self._ids(text) if words is None else np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+        for text, row in zip(texts, rows, strict=True):
+            if row is None:
+                yield self._ids(text)
+                continue
+            words, found, gaps = row
+            for i in gaps:
+                found[i] = self.known[words[i]]
+            yield np.frombuffer(b"".join(found), dtype="<u4")
 
 
 @lru_cache(maxsize=2)

@@ -23,8 +23,10 @@ from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 PAIRS_REMEMBERED = 1_000_000
+_SHIFT = 1 << 20
+_NEVER = 1 << 60
 
 # White space as Unicode's White_Space property has it: `\s` of Python also takes U+001C..1F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -63,10 +65,14 @@ class Bpe:
         vocab = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
         self.id_of = vocab
         merges = (m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"])
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of the merge of two ids (left id times _SHIFT plus right id), and the id that each rank makes.
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, (x, y) in enumerate(merges):
             left, right = bytes(byte[c] for c in x), bytes(byte[c] for c in y)
-            self.merge.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.rank.setdefault(vocab[left] * _SHIFT + vocab[right], rank)
+            self.made.append(vocab[left + right])
+        self.byte_id = [vocab.get(bytes([b]), -1) for b in range(256)]
         size = max([*vocab.values(), *added.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for b, i in vocab.items():
@@ -86,39 +92,46 @@ class Bpe:
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: the lowest-ranked pair first, leftmost among equals."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        byte_id, get, made = self.byte_id, self.rank.get, self.made
+        ids = [byte_id[b] for b in word]
         if len(ids) > 200:
             return self._merged_long(ids)
-        while len(ids) > 1:
-            best = min(((m[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merge.get(p))), default=None)
-            if best is None:
+        ranks = [get(x * _SHIFT + y, _NEVER) for x, y in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NEVER:
                 break
-            i = best[1]
-            ids[i : i + 2] = [self.merge[ids[i], ids[i + 1]][1]]
+            i = ranks.index(rank)
+            ids[i : i + 2] = (made[rank],)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] * _SHIFT + ids[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * _SHIFT + ids[i], _NEVER)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same in n log n: a heap of pairs over a linked list."""
         import heapq
 
-        n = len(ids)
+        get, made, n = self.rank.get, self.made, len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] * _SHIFT + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, x, y = heapq.heappop(heap)
+            rank, i, x, y = heapq.heappop(heap)
             j = after[i]
             if j < 0 or ids[i] != x or ids[j] != y:
                 continue
-            ids[i], ids[j] = self.merge[x, y][1], -1
+            ids[i], ids[j] = made[rank], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := self.merge.get((ids[i], ids[k])):
-                    heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
+                if (r := get(ids[i] * _SHIFT + ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
             h = before[i]
-            if h >= 0 and (m := self.merge.get((ids[h], ids[i]))):
-                heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
+            if h >= 0 and (r := get(ids[h] * _SHIFT + ids[i])) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
     def proposed(self, word: bytes) -> list[int]:
@@ -166,28 +179,28 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text the ids as decimal text and as little-endian 32-bit integers."""
-        pieces = []
+        if len(self.known) > REMEMBERED or not self.known:
+            self.known.clear()
+            for s, i in self.added.items():
+                self.known[s] = (str(i), np.array([i], dtype="<u4").tobytes())
+        get, rows, new = self.known.get, [], set()
         for text in texts:
-            if self.split_added is not None and self.split_added.search(text):
-                words: list = []
+            if self.split_added is not None and any(a in text for a in self.added):
+                words: list[str] = []
                 for part in self.split_added.split(text):
                     words += [part] if part in self.added else words_of(part)
-                for s in self.added:
-                    self.known[s] = (str(self.added[s]), np.array([self.added[s]], dtype="<u4").tobytes())
             else:
                 words = words_of(text)
-            pieces.append(words)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            for s, i in self.added.items():
-                self.known[s] = (str(i), np.array([i], dtype="<u4").tobytes())
-        new = {w for words in pieces for w in words}.difference(self.known)
+            found = list(map(get, words))
+            gaps = [i for i, f in enumerate(found) if f is None] if None in found else ()
+            new.update(words[i] for i in gaps)
+            rows.append((words, found, gaps))
         if new:
             self.learn(list(new))
-        known = self.known
-        for words in pieces:
-            got = [known[w] for w in words]
-            yield ",".join([g[0] for g in got]), b"".join([g[1] for g in got])
+        for words, found, gaps in rows:
+            for i in gaps:
+                found[i] = self.known[words[i]]
+            yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes; sequences that aren't UTF-8 become U+FFFD, as text can hold no others."""

@@ -90,7 +90,8 @@ def predict_role(mentions: DataFrame, cues: DataFrame, prior: dict[str, float],
     summed = near.groupBy("span").pivot("role", list(prior)).agg(F.sum(F.col("weight") * decay(F.col("dist"), window)))
     out = keyed.select("span").join(summed, "span", "left")
     any_fired = F.coalesce(*[F.col(r) for r in prior]).isNotNull()
-    scores = F.array(*[F.coalesce(F.col(r), F.lit(0.0)) + F.lit(float(p)) for r, p in prior.items()])
+    # Rounded, so that equal evidence ties whatever the order of its sum; the first role wins a tie.
+    scores = F.array(*[F.round(F.coalesce(F.col(r), F.lit(0.0)) + F.lit(float(p)), 9) for r, p in prior.items()])
     out = out.withColumn("scores", scores).withColumn("fired", any_fired)
     margin = F.array_max("scores") - F.element_at(F.sort_array("scores", asc=False), 2)
     best = F.element_at(F.array(*map(F.lit, prior)), F.array_position("scores", F.array_max("scores")).cast("int"))

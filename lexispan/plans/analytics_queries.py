@@ -384,7 +384,7 @@ def align_partial_violations(spark, sf):
 
 PRF_SQL = f"""{GOLD_SQL}, hit AS (SELECT sys.*, 1 AS t FROM sys SEMI JOIN gold USING (doc_id, start, "end")),
 c AS (SELECT genre, type, 0 AS s, 0 AS g, 1 AS t FROM hit UNION ALL SELECT genre, type, 1, 0, 0 FROM sys UNION ALL SELECT genre, type, 0, 1, 0 FROM gold)"""
-_PRF = """tp, n_system, n_gold, round(coalesce(tp / nullif(n_system, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(n_gold, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * tp / nullif(n_system + n_gold, 0)::DOUBLE, 0), 6) AS f1"""
+_PRF = """tp, n_system, n_gold, round(coalesce(tp / nullif(n_system, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(n_gold, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * (tp / nullif(n_system, 0)::DOUBLE) * (tp / nullif(n_gold, 0)::DOUBLE) / nullif(tp / nullif(n_system, 0)::DOUBLE + tp / nullif(n_gold, 0)::DOUBLE, 0), 0), 6) AS f1"""
 
 
 def _rounded(df):

@@ -260,10 +260,10 @@ _WIN = "substring(lower(text), greatest(1, start - 139)::INT, (\"end\" + 140 - g
   p AS (SELECT *, sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id, start, "end" ORDER BY i) AS e FROM t),
   c AS (SELECT doc_id, start, "end", phrase, role, any_value(weight) AS weight, min(greatest(0, a - e, e - length(tok) - b)) AS dist
     FROM p JOIN cues ON phrase = tok WHERE NOT contains(mention, phrase) GROUP BY 1, 2, 3, 4, 5),
-  r AS (SELECT m.doc_id, m.start, m."end", n.role, 0.1::DOUBLE * n.i + coalesce(sum(c.weight * CASE WHEN dist >= 140 THEN 0.25::DOUBLE ELSE 1 - 0.75::DOUBLE * dist / 140 END), 0) AS score, count(c.phrase) AS fired
+  r AS (SELECT m.doc_id, m.start, m."end", n.role, n.i, 0.1::DOUBLE * n.i + coalesce(sum(c.weight * CASE WHEN dist >= 140 THEN 0.25::DOUBLE ELSE 1 - 0.75::DOUBLE * dist / 140 END), 0) AS score, count(c.phrase) AS fired
     FROM (SELECT DISTINCT doc_id, start, "end" FROM m WHERE length(lower(text)) = length(text)) m, (VALUES ('proposed', 0), ('used', 1), ('compared', 2), ('background', 3)) n(role, i)
     LEFT JOIN c ON c.doc_id = m.doc_id AND c.start = m.start AND c."end" = m."end" AND c.role = n.role GROUP BY 1, 2, 3, 4, n.i),
-  k AS (SELECT doc_id, start, "end", max_by(role, score) AS best, list_sort(list(score), 'DESC') AS s, sum(fired) AS fired FROM r GROUP BY 1, 2, 3)
+  k AS (SELECT doc_id, start, "end", max_by(role, round(score, 9) * 1000 - i * 1e-7) AS best, list_sort(list(round(score, 9)), 'DESC') AS s, sum(fired) AS fired FROM r GROUP BY 1, 2, 3)
   SELECT doc_id, start, "end", CASE WHEN fired = 0 AND s[1] - s[2] < 0.35 THEN 'unknown' ELSE best END AS role, round(s[1] - s[2], 6) AS margin FROM k""")
 def role_predict(spark, sf):
     m, toks, _ = mentions(spark, sf)

@@ -16,26 +16,30 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: A token with a digit is a variable field. The look-behind keeps the scan linear on long tokens.
-_FIELD = r"(?:(?<= )|^)[^ 0-9]*+[0-9][^ ]*"
-_GAP = r"[ \t\x0B\f\r]+"
+_FIELD = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*"
+_GAP = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 #: Bits of the filter that spares the shuffle of lines whose leaf is unique: 16 MB at any size.
 _FILTER_BITS = 1 << 27
 
 
-def _masked(line: Column) -> Column:
-    """The line with single blanks between tokens and ``<*>`` for tokens with digits."""
-    flat = F.btrim(line, F.lit(" \t\x0b\f\r"))
-    flat = F.when(flat.rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(flat, _GAP, " ")).otherwise(flat)
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, _FIELD, "<*>")).otherwise(flat)
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    # Masked before the lines are rows: no filter on a line can then repeat the masking.
-    masked = F.transform(F.split("text", "\n"), _masked)
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(masked).alias("line_no", "masked"))
+    """Each line, trimmed, with single blanks between tokens and ``<*>`` for tokens with digits.
+
+    A whole text is masked before it is split: no filter on a line can then repeat the masking.
+    Plain searches tell which texts need a regex at all.
+    """
+    text = F.col("text")
+    uneven = F.lit(False)
+    for gap in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
+        uneven = uneven | text.contains(gap)
+    flat = F.when(uneven, F.regexp_replace(F.regexp_replace(text, _GAP, " "), " ?\n ?", "\n")).otherwise(text)
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(flat, _FIELD, "<*>")).otherwise(flat)
+    split = F.split(F.trim(masked), "\n")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(split).alias("line_no", "masked"))
 
 
-_N = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+def _n_tokens() -> Column:
+    return F.when(F.col("masked") == "", 0).otherwise(F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
 
 
 def _leaf(n: Column, depth: int) -> Column:
@@ -56,7 +60,7 @@ def _with_some_member(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def template_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) -> DataFrame:
     """One row for each line: ``doc_id, key, line_no, dropped``."""
-    lines = _lines(docs).withColumn("n", F.when(F.col("masked") == "", 0).otherwise(_N))
+    lines = _lines(docs).withColumn("n", _n_tokens())
     # A blank line stands alone, so that no key gathers them.
     own = F.when(F.col("n") > 0, F.xxhash64("masked")).otherwise(F.xxhash64("line_no", "key"))
     slim = materialise(lines.select("doc_id", "key", "line_no", own.alias("own"), F.when(F.col("n") > depth, _leaf(F.col("n"), depth)).alias("leaf")), "lines")

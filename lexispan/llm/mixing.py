@@ -19,8 +19,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 7
 #: Bins of the ranking variable: the documents of one bin are ordered in one task.
-BINS_LOG2 = 12
-BINS = 1 << BINS_LOG2
+BINS = 4096
 
 
 def word_count(text: str | Column) -> Column:
@@ -56,10 +55,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text: str = "text", source: str = "source"
-) -> DataFrame:
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text: str = "text", source: str = "source",
+    preference: str | None = None,
+) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken`` (words) and ``copies``.
 
+    Expected copies are the source's target over its size, times the document's ``preference``
+    over the source's mean by words (a column; null, or none given: all alike), at most
+    ``most``. Their whole part is certain and the rest p is the inclusion chance of one more.
+
     A null text has no words; a null source is a source of its own, the last. Documents
     without words are never sampled (their certain copies carry no words). Of rows that repeat
     a document each counts and is ranked by itself, ties being interchangeable. A source stops
@@ -67,37 +71,47 @@ def mix(
     replaced. An empty table gives an empty table.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
-    base = docs.select(*[c for c in docs.columns if c not in new]).withColumn("size", word_count(text))
+    like = F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(1.0)), F.lit(0.0)) if preference else F.lit(1.0)
+    base = docs.withColumns({"__ls_size": word_count(text), "__ls_like": like, "__ls_source": F.col(source)})
+    liked = F.sum(F.col("__ls_size") * F.col("__ls_like"))
+    sums = materialise(base.groupBy(F.col("__ls_source").alias("source")).agg(F.sum("__ls_size").alias("source_size"), liked.alias("liked")), "sizes")
+    targets = source_targets(sums.select("source", "source_size"), weights, most)
+    # Expected copies of a document are this rate times its preference.
+    rate = F.when(F.col("liked") > 0, F.col("target") / F.col("liked")).otherwise(0.0)
+    rates = targets.join(sums.select(F.col("source").alias("s2"), "liked"), F.col("source").eqNullSafe(F.col("s2")))
+    rates = materialise(rates.select(F.col("source").alias("__ls_s"), F.col("source_size").alias("__ls_total"), F.col("target").alias("__ls_target"), rate.alias("__ls_rate")), "rates")
+    expected = F.least(F.col("__ls_rate") * F.col("__ls_like"), F.lit(float(most)))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 13), 16, 10).cast("long")
-    base = base.withColumns({"__ls_source": F.col(source), "__ls_draw": draw, "__ls_bin": F.shiftright(draw, 52 - BINS_LOG2).cast("int")})
-    # The random odds u / (1 - u) over one inclusion chance for a source rise with u: bins of u are bins of the rank.
-    bins = materialise(base.groupBy(F.col("__ls_source").alias("source"), F.col("__ls_bin").alias("bin")).agg(F.sum("size").alias("words")), "bins")
-    targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # Where the target is a whole multiple nothing is left to sample.
-    plan = targets.withColumn("whole", F.floor(ratio + 1e-12).cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = bins.withColumn("before", before).withColumnRenamed("source", "s")
-    cuts = cuts.join(plan.select("source", "rest"), F.col("s").eqNullSafe(F.col("source"))).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    cuts = cuts.groupBy("source").agg(F.min(F.struct("bin", "before")).alias("cut"))
-    plan = plan.join(cuts.withColumnRenamed("source", "cs"), F.col("source").eqNullSafe(F.col("cs")), "left")
-    plan = materialise(
-        plan.select(
-            F.col("source").alias("__ls_s"), "source_size", "target", F.col("whole").alias("__ls_whole"), F.col("rest").alias("__ls_rest"),
-            F.coalesce("cut.bin", F.when(F.col("rest") > 0, BINS).otherwise(-1)).alias("__ls_cut"), F.coalesce("cut.before", F.lit(0)).alias("__ls_before"),
-        ),
-        "plan",
-    )
-    planned = base.join(plan, F.col("__ls_source").eqNullSafe(F.col("__ls_s")))
+    u = (draw + 0.5) / 2.0**52
+    ranked = base.join(rates, F.col("__ls_source").eqNullSafe(F.col("__ls_s"))).withColumns({"__ls_whole": F.floor(expected + 1e-12), "__ls_u": u})
+    p = F.greatest(expected - F.col("__ls_whole"), F.lit(0.0))
+    ranked = ranked.withColumn("__ls_p", p)
+    # The rank, random odds over inclusion odds, and its share in (0, 1), which keeps the order and has even bins.
+    odds = (F.col("__ls_u") / (1 - F.col("__ls_u"))) * ((1 - F.col("__ls_p")) / F.col("__ls_p"))
+    ranked = ranked.withColumn("__ls_rank", F.when((F.col("__ls_p") > 0) & (F.col("__ls_size") > 0), odds))
+    ranked = ranked.withColumn("__ls_bin", F.coalesce(F.least(F.floor(F.col("__ls_rank") / (1 + F.col("__ls_rank")) * BINS), F.lit(BINS - 1)), F.lit(BINS)).cast("int"))
+    certain = F.sum(F.col("__ls_whole") * F.col("__ls_size"))
+    bins = materialise(ranked.groupBy("__ls_s", F.col("__ls_bin").alias("bin")).agg(F.sum("__ls_size").alias("words"), certain.alias("certain"), F.max("__ls_target").alias("target")), "bins")
+    rest = bins.groupBy(F.col("__ls_s").alias("source")).agg(F.greatest(F.max("target") - F.sum("certain"), F.lit(0.0)).alias("rest"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("__ls_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = bins.where(F.col("bin") < BINS).withColumn("before", before).join(rest, F.col("__ls_s").eqNullSafe(F.col("source")))
+    cuts = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+    cuts = cuts.groupBy("source").agg(F.min(F.struct("bin", "before")).alias("cut")).withColumnRenamed("source", "cs")
+    cut_at = F.coalesce("cut.bin", F.when(F.col("rest") > 0, BINS).otherwise(-1))
+    plan = rest.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left")
+    plan = materialise(plan.select(F.col("source").alias("__ls_s3"), F.col("rest").alias("__ls_rest"), cut_at.alias("__ls_cut"), F.coalesce("cut.before", F.lit(0)).alias("__ls_before")), "plan")
+    planned = ranked.join(plan, F.col("__ls_source").eqNullSafe(F.col("__ls_s3")))
     # Only the bin with the cut is ordered, one bin of BINS for each source.
-    rank = Window.partitionBy("__ls_source").orderBy("__ls_draw", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = planned.where(F.col("__ls_bin") == F.col("__ls_cut"))
-    start = F.col("__ls_before") + F.coalesce(F.sum("size").over(rank), F.lit(0))
-    in_cut = cut.withColumn("__ls_extra", F.when((F.col("size") > 0) & (start + F.col("size") / 2.0 <= F.col("__ls_rest")), 1).otherwise(0))
-    outside = planned.where(F.col("__ls_bin") != F.col("__ls_cut"))
-    outside = outside.withColumn("__ls_extra", F.when((F.col("__ls_bin") < F.col("__ls_cut")) & (F.col("size") > 0), 1).otherwise(0))
-    out = in_cut.unionByName(outside).withColumn("copies", F.col("__ls_whole") + F.col("__ls_extra")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in docs.columns if c not in new], *new)
+    order = Window.partitionBy("__ls_source").orderBy("__ls_rank", id_col, "__ls_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = planned.where((F.col("__ls_bin") == F.col("__ls_cut")) & (F.col("__ls_bin") < BINS))
+    start = F.col("__ls_before") + F.coalesce(F.sum("__ls_size").over(order), F.lit(0))
+    inside = inside.withColumn("__ls_extra", F.when(start + F.col("__ls_size") / 2.0 <= F.col("__ls_rest"), 1).otherwise(0))
+    outside = planned.where((F.col("__ls_bin") != F.col("__ls_cut")) | (F.col("__ls_bin") == BINS))
+    outside = outside.withColumn("__ls_extra", F.when((F.col("__ls_bin") < F.col("__ls_cut")) & (F.col("__ls_bin") < BINS), 1).otherwise(0))
+    copies = F.col("__ls_whole") + F.col("__ls_extra")
+    out = inside.unionByName(outside)
+    named = {"size": F.col("__ls_size"), "source_size": F.col("__ls_total"), "target": F.col("__ls_target"), "copies": copies, "taken": copies * F.col("__ls_size")}
+    return out.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in named.items()])
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,17 @@ def test_targets_stop_at_three_times_and_reruns_agree(spark):
         assert abs(sum(x.taken for x in rows) - rows[0].target) <= max(x.size for x in rows)
 
 
+def test_preferences_are_inclusion_odds(spark):
+    docs = [(i, "w w w w", "a" if i % 4 else "b", float(1 + 2 * (i % 2)) if i % 10 else None) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, liked double")
+    rows = [r for r in mixing.mix(df, weights=(1, 4), preference="liked").collect() if r.source == "a"]
+    target, mean = rows[0].target / rows[0].source_size, np.mean([r.liked or 1.0 for r in rows])
+    assert target < 0.5 and abs(sum(r.taken for r in rows) - rows[0].target) <= 4
+    for liked in (1.0, 3.0):
+        share = np.mean([r.copies for r in rows if (r.liked or 1.0) == liked])
+        assert abs(share - target * liked / mean) < 0.04
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 

@@ -1 +1 @@
-
+"""Scalar functions as Columns, and the fixed values they use."""

@@ -1 +1 @@
-
+"""Whole runs: configuration, the extraction pipeline, registered queries."""

@@ -9,11 +9,10 @@ from ..functions import text as T
 from ..operators import classify as C
 from ..operators import evaluation as E
 from ..operators import score as S
-from ..operators import tokens as K
 from ..operators import trends as N
 from ..operators import verify as V
 from ..sources import readers as R
-from .fixtures import fixture, sub
+from .fixtures import fixture
 from .guard_queries import EVIDENCE_SQL, TYPE_SQL, mentions, with_evidence
 from .recall_queries import CAND_SQL, surfaces
 from .text_queries import docs

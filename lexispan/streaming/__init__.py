@@ -1 +1 @@
-
+"""Streaming variants."""

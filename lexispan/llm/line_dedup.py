@@ -20,6 +20,8 @@ _FIELD = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*"
 _GAP = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 #: Bits of the filter that spares the shuffle of lines whose leaf is unique: 16 MB at any size.
 _FILTER_BITS = 1 << 27
+#: Shares of a leaf at which the pipeline also looks for templates.
+SHARES = (1 / 128, 1 / 32, 1 / 8, 1 / 2)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -58,8 +60,13 @@ def _with_some_member(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     return lines.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "bucket").where(hit).drop("bucket", "map")
 
 
-def template_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) -> DataFrame:
-    """One row for each line: ``doc_id, key, line_no, dropped``."""
+def template_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75, shares: tuple[float, ...] = ()) -> DataFrame:
+    """One row for each line: ``doc_id, key, line_no, dropped``.
+
+    A token is kept where two texts of the leaf have it. Field values recur in large leaves, so
+    for each of ``shares`` a line also has a template of the tokens that this share of its
+    leaf's texts have; it goes if any of its templates has an earlier line.
+    """
     lines = _lines(docs).withColumn("n", _n_tokens())
     # A blank line stands alone, so that no key gathers them.
     own = F.when(F.col("n") > 0, F.xxhash64("masked")).otherwise(F.xxhash64("line_no", "key"))
@@ -73,24 +80,32 @@ def template_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) ->
     # An inner join: a semi-join would be pushed below the filter.
     texts = candidates.join(wide, "leaf").select("leaf", "masked", "n").distinct()
     tokens = texts.select("leaf", F.xxhash64("masked").alias("own"), F.ceil(F.col("n") * F.lit(float(similarity))).cast("int").alias("need"), F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    tokens = materialise(tokens.where(F.col("at") >= depth).select(F.xxhash64("leaf", "at", "token").alias("cell"), "own", "need", "at"), "tokens")
-    kept = tokens.groupBy("cell").count().where("count > 1").select("cell")
-    general = (
-        tokens.join(kept, "cell", "left_semi")
-        .groupBy("own", "need")
-        .agg(F.expr("sort_array(collect_list(struct(at, cell)))").alias("shape"))
-        .where(F.size("shape") + depth >= F.col("need"))
-        .select("own", F.xxhash64("shape").alias("template"))
-    )
+    cell = F.xxhash64("leaf", "at", "token").alias("cell")
+    tokens = materialise(tokens.where(F.col("at") >= depth).select(cell, "own", "need", "at", *(["leaf"] if shares else [])), "tokens")
+    if shares:
+        sizes = tokens.where(F.col("at") == depth).groupBy("leaf").agg(F.count("*").alias("texts"))
+        cells = tokens.groupBy("cell").agg(F.count("*").alias("count"), F.min("leaf").alias("leaf")).where("count > 1")
+        kept = cells.join(sizes, "leaf").select("cell", (F.col("count") / F.col("texts")).alias("share"))
+        shapes = tokens.join(kept, "cell").groupBy("own", "need").agg(F.expr("sort_array(collect_list(struct(at, cell, share)))").alias("all"))
+        levels = [F.expr(f"transform(filter(all, x -> x.share >= {float(q)!r}D), x -> struct(x.at, x.cell))") for q in (0.0, *shares)]
+        shapes = shapes.select("own", "need", F.explode(F.array(*levels)).alias("shape"))
+    else:
+        kept = tokens.groupBy("cell").count().where("count > 1").select("cell")
+        shapes = tokens.join(kept, "cell", "left_semi").groupBy("own", "need").agg(F.expr("sort_array(collect_list(struct(at, cell)))").alias("shape"))
+    general = shapes.where(F.size("shape") + depth >= F.col("need")).select("own", F.xxhash64("shape").alias("template"))
+    if shares:
+        general = general.distinct()
     seen = slim.groupBy("own").agg(F.min(place).alias("first"), F.min(who).alias("lo"), F.max(who).alias("hi"))
     named = seen.join(general, "own", "left").withColumn("template", F.coalesce("template", "own"))
     named = materialise(named, "named")
     recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("template", "first")
     drop = named.select("own", "template").join(recurring, "template").select("own", "first")
+    if shares:  # a line isn't the first of all its templates if an earlier one leads any
+        drop = drop.groupBy("own").agg(F.min("first").alias("first"))
     return slim.join(drop, "own", "left").select("doc_id", "key", "line_no", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75, shares: tuple[float, ...] = ()) -> DataFrame:
     """``docs`` with recurring templates cut from ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Every row stays and other columns pass unchanged; ``n_chars``, if there, is the new length.
@@ -99,7 +114,7 @@ def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75) -> Da
     gives an empty table.
     """
     flags = (
-        template_lines(docs.select("doc_id", "text"), depth, similarity)
+        template_lines(docs.select("doc_id", "text"), depth, similarity, shares)
         .distinct()
         .groupBy("doc_id", "key")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", "dropped"))).alias("flags"))

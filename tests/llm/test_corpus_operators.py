@@ -68,6 +68,24 @@ def test_line_dedup_equals_sql(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("n", [100, 3000])
+def test_templates_with_recurring_field_values(spark, n):
+    r = random.Random(n)
+    name = lambda: "".join(chr(97 + int(c)) for c in str(r.randint(100, 399)))
+    docs = [(i, f"the forum member named {name()} has written a reply to {name()} this morning") for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = line_dedup.dedup_lines(df, depth=3, shares=line_dedup.SHARES).where("n_dropped = 0").collect()
+    assert [x.doc_id for x in got] == [0]
+
+
+def test_the_pipeline_generalises_the_fourth_token(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"Posted by user {w} on the page of the forum", "en", "a", 1) for i, w in enumerate(["Alice", "Bob", "Carol"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id: x.text for x in corpus_pipeline.lines(spark, docs, "").collect()} == {0: rows[0][1], 1: "", 2: ""}
+
+
 # --- SimHash --------------------------------------------------------------------------------------
 
 

@@ -26,6 +26,8 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _ONES = np.uint64(0x0101010101010101)
 _SEED = 42
 _CHUNK = 1 << 16
+#: Sets of so many shingles at most meet by prefix filtering, which misses no link: their bits say too little.
+EXACT = 64
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -205,35 +207,66 @@ def add_shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _add_nodes(docs: DataFrame, size: int, longs: int) -> DataFrame:
-    """``doc_id, key, node, fp``: ``node`` stands for a shingle set, ``fp`` is its SimHash."""
+def _add_nodes(docs: DataFrame, size: int, longs: int, similarity: float) -> DataFrame:
+    """``doc_id, key, node, fp, shingles``: ``node`` stands for a shingle set.
+
+    ``fp`` is the SimHash of sets above ``EXACT`` shingles, ``shingles`` the sets that can be
+    close to one of at most ``EXACT``; otherwise they are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps = [], []
+            nodes, fps, sets = [], [], []
             for t in batch.column(2):
                 h = np.unique(shingle_hashes(t.as_py() or "", size))
                 nodes.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), _SEED)).view(np.int64)))
-                fps.append(fingerprint(h, longs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "fp"])
+                fps.append(fingerprint(h, longs) if len(h) > EXACT else None)
+                sets.append(h.view(np.int64) if 0 < len(h) <= EXACT / similarity else None)
+            arrays = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "node", "fp", "shingles"])
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, fp array<bigint>")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, fp array<bigint>, shingles array<bigint>")
+
+
+def _alike(x: Column, y: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return (F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y))) & (both >= similarity * (F.size(x) + F.size(y) - both))
+
+
+def small_set_components(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, label`` over every link of ``sets`` (``node, shingles``), by prefix filtering.
+
+    With shingles ordered by how many sets have them, two sets of this similarity share one of
+    their first n - ceil(similarity * n) + 1. Shingles of one set only come first and meet none.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = each.join(common, "key").groupBy("node", "n").agg(F.expr("sort_array(collect_list(struct(sets, key)))").alias("shared"))
+    take = F.col("n") - F.ceil(F.col("n") * F.lit(float(similarity)) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("shared"))
+    members = shared.withColumn("take", take).where("take > 0").select("node", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select("node", "x.key")
+    members = materialise(members, "prefixes")
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.join(x, "a").join(y, "b").where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
+
+    return link_components(members, lambda x, y: _alike(x, y, similarity), sets.select("node", F.col("shingles").alias("sketch")), verify)
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, key, node`` of ``docs``, and ``node, label`` of shingle sets with near copies.
 
     Two texts link if the Jaccard similarity of their sets of ``size``-word shingles is
-    ``similarity`` or more. Candidates share a block of a long SimHash; pairs at the threshold
-    do so with chance ``recall``, closer ones almost surely. Candidates pass if the Hamming
-    distance of 1,024 bits doesn't rule the similarity out (by four standard deviations), and
-    then by the exact similarity.
+    ``similarity`` or more. Every link of a set of at most ``EXACT`` shingles is found. Larger
+    sets are candidates if they share a block of a long SimHash, planned for a chance of
+    ``recall`` at the threshold, and if the Hamming distance of 1,024 bits doesn't rule the
+    similarity out (by four standard deviations); they then pass by the exact similarity.
     """
     width, blocks = blocks_for(docs.count(), similarity, recall)
     longs, checked = max(16, math.ceil(width * blocks / 64)), 16
-    rows = materialise(_add_nodes(docs, size, longs), "shingled")
-    nodes = materialise(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep"), F.first("fp").alias("fp")), "nodes")
+    rows = materialise(_add_nodes(docs, size, longs, similarity), "shingled")
+    nodes = materialise(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "nodes")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = lambda bits: bits * differ + 4 * math.sqrt(bits * differ * (1 - differ))
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
@@ -250,10 +283,12 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
         both = F.size(F.array_intersect("x", "y"))
         return near.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    members = nodes.select("node", F.explode(_slices(width, blocks)).alias("key"))
+    small = small_set_components(nodes.where("shingles IS NOT NULL").select("node", "shingles"), similarity)
+    large = nodes.where("fp IS NOT NULL")
+    members = large.select("node", F.explode(_slices(width, blocks)).alias("key"))
     half = checked // 2
-    labels = link_components(members, lambda x, y: _sketch_distance(x, y, half) <= most(64 * half), nodes.select("node", F.slice("fp", 1, half).alias("sketch")), verify)
-    return rows.select("doc_id", "key", "node"), labels
+    labels = link_components(members, lambda x, y: _sketch_distance(x, y, half) <= most(64 * half), large.select("node", F.slice("fp", 1, half).alias("sketch")), verify)
+    return rows.select("doc_id", "key", "node"), connected_components(small.unionByName(labels), "node", "label")
 
 
 def _sketch_distance(x: Column, y: Column, longs: int) -> Column:

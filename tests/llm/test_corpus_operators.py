@@ -144,6 +144,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(got - want) <= 0.05 * (len(ids) - len(want))
 
 
+def test_small_sets_lose_no_link(spark):
+    r, docs = random.Random(9), []
+    for n in [5, 6, 7, 8, 9, 10, 12, 16, 19, 24, 34, 48, 64, 68] * 30:
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        more = max(1, (n - 4) // 4) if n > 7 else 0
+        docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(words + [f"x{r.random()}" for _ in range(more)]))]
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in docs}
+    ids = sorted(sets)
+    links = [(a, a + 1) for a in ids[::2] if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])]
+    assert len(links) > 300
+    want = {d for d, root in _roots(links, ids).items() if d == root}
+    assert {x.doc_id for x in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 # --- fingerprints by weighted sampling --------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-SAMPLES = 24
+SAMPLES = 32
 _UNIT = 2.0**-32
 _AT_ONCE = 4
 #: A text without words has this in place of every sample.

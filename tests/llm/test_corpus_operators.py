@@ -241,3 +241,8 @@ def test_without_both_kinds_of_labels_all_is_kept(spark, labels):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     out = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert all(r.keep and r.score == 1.0 for r in out)
+
+
+def test_fingerprints_have_32_samples(spark):
+    got = weighted_sampling.edited_fingerprints(spark.createDataFrame([(1, "a b c"), (2, "c d e f")], "doc_id long, text string")).first()
+    assert len(got.fingerprint) == 8 * 32

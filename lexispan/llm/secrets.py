@@ -50,15 +50,23 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def known_shape(s: str) -> bool:
-    """Digests and identifiers that look random but are no secrets, and what no random string is made of."""
+    """Digests and identifiers that look random but are no secrets, numbers and rules of dashes."""
     if _UUID.fullmatch(s) or (_HEX_ONLY.fullmatch(s) and len(s) in _DIGESTS):
         return True
-    body = s.rstrip("=")
-    if not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
-        return True  # numbers, words, rules of dashes
-    parts = [p for p in re.split(r"[/_+-]", body) if p]
-    # Names and paths: parts that are all letters or all digits.
-    return all(p.isalpha() or p.isdigit() for p in parts)
+    return not any(c.isalpha() for c in s)
+
+
+def random_looking(s: str, path: str) -> bool:
+    """Whether ``s`` packs few characters in a token: as a whole, and in its letters if they stand apart from digits."""
+    encode = _encoding(path).encode_ordinary
+    if len(s) >= RATIO * len(encode(s)):
+        return False
+    parts = [p for p in re.split(r"[/_+-]", s.rstrip("=")) if p]
+    if not all(p.isalpha() or p.isdigit() for p in parts):
+        return True
+    # Names and paths of words have word-like parts, however many signs and numbers join them.
+    letters = [p for p in parts if p.isalpha()]
+    return sum(map(len, letters)) < RATIO * sum(len(encode(p)) for p in letters)
 
 
 def spans(text: str, path: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -72,7 +80,7 @@ def spans(text: str, path: str) -> tuple[list[tuple[int, int, int]], list[tuple[
         s = m[0]
         if known_shape(s) or any(x < m.end() and m.start() < y for x, _, y in base):
             continue
-        if len(s) < RATIO * len(_encoding(path).encode_ordinary(s)):
+        if random_looking(s, path):
             added.append((m.start(), 3, m.end()))
     return base, added
 

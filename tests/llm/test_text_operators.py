@@ -115,6 +115,16 @@ def test_random_strings_are_added_and_known_shapes_are_not():
         assert secrets.spans(plain, path)[1] == []
 
 
+def test_random_letters_are_judged_by_their_ratio():
+    path, r = secrets.vocabulary_path(), random.Random(8)
+    word = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    low, both = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = [word(low.upper(), 32) for _ in range(50)] + [word(both, 24) for _ in range(50)] + [f"xoxb-{word('0123456789', 12)}-{word(both, 24)}" for _ in range(50)]
+    assert sum(bool(secrets.spans(k, path)[1]) for k in keys) >= 140
+    for plain in ("src/main/resources/messages/english", "MAX_CONNECTION_TIMEOUT_SECONDS", "getElementsByClassNameAndValue", "report-2024-11-26-final-version", "-" * 40):
+        assert secrets.spans(plain, path)[1] == []
+
+
 # --- media --------------------------------------------------------------------------------------
 
 

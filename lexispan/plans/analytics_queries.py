@@ -171,9 +171,17 @@ def decode_violations(spark, sf):
   SELECT short_key, max_by(long_key, (n, long_key)) AS long_key FROM (SELECT short_key, long_key, count(*) AS n FROM k WHERE short_key <> long_key GROUP BY 1, 2) GROUP BY 1""")
 def alias_map(spark, sf):
     d = docs(spark, sf).select(F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0).alias("long")).where("long <> ''").distinct()
+    return _aliases(d)
+
+
+def _aliases(d):
     return S.alias_map(d.select(F.explode(F.split("long", " ")).alias("w"), "long").select(F.left("w", F.lit(3)).alias("short"), "long"))
 
 
+@query()
+def alias_map_texts(spark, sf):
+    """As alias_map, over every word pair of the whole texts."""
+    return _aliases(docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ [A-Za-z]+"), 0)).alias("long")).distinct())
 
 
 @query(f"""WITH links AS (SELECT p_type AS key, CASE WHEN p_size > 45 AND left(md5(p_type), 1) < '8' THEN 'z' ELSE left(md5(p_type), 1) END AS entry_id, count(*) AS n FROM part GROUP BY 1, 2),
@@ -457,7 +465,7 @@ def loss_attribution(spark, sf):
 
 
 def _gold_terms(spark, sf):
-    return docs(spark, sf).select("doc_id", F.explode(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,} [A-Za-z]{5,}"), 0), 1, 3)).alias("surface"))
+    return docs(spark, sf).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,} [A-Za-z]{5,}"), 0)).alias("surface"))
 
 
 @query()

@@ -145,3 +145,18 @@ def test_streaming_ingest(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.doc_id, r.text, r.suspect) for r in spark.sql("SELECT * FROM clean").collect()] == [(1, "Hello world", False)]
+
+
+def test_queries_reach_whole_texts_and_the_corpus(spark, sf):
+    from pyspark.sql import Row
+
+    text = "Neural Networks are here. You must extract the chip. Method we use gradient descent. Alpha beta gamma delta epsilon zetas thetas lambdas"
+    import tempfile
+
+    path = tempfile.mkdtemp()
+    spark.createDataFrame([Row(doc_id=1, text=text)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, path).collect()
+    assert any("gradient" in r.long_key for r in run("alias_map_texts"))
+    assert "thetas lambdas" in {r.surface for r in run("gold_expand")} and run("gold_validate") == []
+    assert "reject" in {r.verdict for r in run("injection_guard_corpus") if r.doc_id == 1000001}
+    assert {r.doc_id for r in run("section_at_offset_corpus")} == {1}

@@ -267,8 +267,8 @@ def kb_compile(spark, sf):
 
 @query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey < 64 THEN floor(log2(greatest(p_partkey, 1)))::INT ELSE 6 END AS depth FROM part WHERE p_partkey BETWEEN 1 AND 127")
 def kb_depth(spark, sf):
-    """A binary tree over part keys: depth is the floor of log2."""
-    p = read(spark, sf, "part").where("p_partkey BETWEEN 1 AND 127").select(F.col("p_partkey").cast("string").alias("o"), F.floor(F.col("p_partkey") / 2).cast("long").cast("string").alias("s"))
+    """A binary tree over all part keys: depth is the floor of log2, down to the deepest level of a knowledge base."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("o"), F.floor(F.col("p_partkey") / 2).cast("long").cast("string").alias("s"))
     return R.depths(p.where("s <> '0'").withColumn("p", F.lit("superTopicOf")), "1")
 
 

@@ -150,6 +150,12 @@ def section_at_offset(spark, sf):
     return K.section_at(K.tokens(fx).select("doc_id", "start", "end"), K.heading_sections(fx))
 
 
+@query()
+def section_at_offset_corpus(spark, sf):
+    d = docs(spark, sf)
+    return K.section_at(K.tokens(d).select("doc_id", "start", "end"), K.heading_sections(d))
+
+
 _ZONES_SQL = f"(SELECT doc_id, start AS lo, \"end\" + length(tok) AS hi FROM {_TOK_SQL} WHERE length(tok) > 6)"
 
 

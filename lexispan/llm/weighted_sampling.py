@@ -14,11 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import WORD, materialise, table
 
-SAMPLES = 32
+SAMPLES = 64
+#: Draws above ``ENOUGH`` over the text's weight are left out unseen: a sample's least value lies above with chance exp(-ENOUGH).
+ENOUGH = 22.0
 _UNIT = 2.0**-32
-_AT_ONCE = 4
+_AT_ONCE = 2
 #: A text without words has this in place of every sample.
 NONE = "0" * 8
 
@@ -29,40 +31,64 @@ def _uniform(h: str, high: bool) -> str:
     return f"({_UNIT!r}D * ({half} + 1L))"
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES, text: str = "text") -> DataFrame:
-    """``keys, fingerprint`` for every text that has words, eight hexadecimal digits a sample.
-
-    Rows that agree in ``keys`` count as one text. If ``texts`` is dealt out by some of the
-    keys, nothing is shuffled: terms are counted where their text is. Samples are drawn
-    ``_AT_ONCE`` at a time, so that the code that Spark makes stays small enough to be compiled.
-    """
-    flat = F.col(text)
+def words_of(text: Column) -> Column:
+    """The words of a text, without a regex."""
     for gap in "\t\n\x0b\x0c\r":
-        flat = F.replace(flat, F.lit(gap), F.lit(" "))  # a split at one plain character needs no regex
-    words = texts.select(*keys, F.explode(F.split(flat, " ")).alias("word")).where("word <> ''")
-    terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("w"))
-    rounds = F.array(*[F.lit(g) for g in range(-(-samples // _AT_ONCE))])
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def pair_fingerprints(texts: DataFrame, keys: list[str], first: str = "text", second: str = "edited", samples: int = SAMPLES, enough: float | None = ENOUGH) -> DataFrame:
+    """``keys, n0, n1, fp0, fp1``: word counts and fingerprints of two texts a row, eight hexadecimal digits a sample.
+
+    Texts that share words share their draws, so an edited text costs little more than its
+    original. Rows that agree in ``keys`` count as one; if ``texts`` is dealt out by them, nothing
+    is shuffled. A draw is worked out only if a lower bound that needs no logarithm is at most
+    ``enough`` over the text's words (None: always): with c the gamma of the value, q = exp(-r)
+    and -ln x = -4 ln x^(1/4) >= 8 (1 - x^(1/4)) / (1 + x^(1/4)), a value is at least c q / w,
+    and for weight 1, c q^(1-b) >= c / (b + (1-b) q^(-1/4))^4. A sample whose draws were all
+    left out makes its fingerprint null, and the caller draws that text in full. Samples are
+    drawn ``_AT_ONCE`` at a time, so that the code that Spark makes stays small enough to be
+    compiled. A text without words has a null fingerprint and a count of 0.
+    """
     each = range(_AT_ONCE)
-    drawn = terms.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("ln_w"), F.explode(rounds).alias("g"))
-    drawn = drawn.select("*", *[F.xxhash64("term", "g", F.lit(3 * j + i)).alias(f"h{j}_{i}") for j in each for i in range(3)])
-    gamma = lambda h: f"-ln({_uniform(h, True)} * {_uniform(h, False)})"
+    some = F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate((first, second))])
+    both = texts.select(*keys, F.explode(some).alias("x")).select(*keys, "x.which", words_of(F.col("x.text")).alias("words"))
+    words = both.select(*keys, "which", F.size("words").alias("n"), F.explode("words").alias("word"))
+    own = lambda c, i: F.when(F.col("which") == i, c)
+    terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(*[F.count(own(F.lit(1), i)).alias(f"w{i}") for i in (0, 1)], *[F.coalesce(F.max(own(F.col("n"), i)), F.lit(0)).alias(f"m{i}") for i in (0, 1)])
+    terms = terms.select(*keys, "term", "w0", "w1", F.ln(F.col("w0").cast("double")).alias("l0"), F.ln(F.col("w1").cast("double")).alias("l1"), "m0", "m1", *[F.ln(F.lit(float(enough or 1)) / F.greatest(f"m{i}", F.lit(1))).alias(f"e{i}") for i in (0, 1)])
+    top = F.expr(f"greatest(w0, w1) * {float(enough)!r}D / least(if(w0 = 0, m1, m0), if(w1 = 0, m0, m1))") if enough else F.lit(float("inf"))
+    drawn = terms.select(*keys, "term", "w0", "w1", "l0", "l1", "m0", "m1", "e0", "e1", top.alias("top"), F.explode(F.array(*map(F.lit, range(-(-samples // _AT_ONCE))))).alias("g"))
+    keep = [*keys, "g", "w0", "w1", "l0", "l1", "m0", "m1", "e0", "e1"]
+    drawn = drawn.select(*keep, "top", F.xxhash64("term", "g").alias("term"))
+    drawn = drawn.select(*keep, "top", "term", *[F.xxhash64("term", F.lit(3 * j + i)).alias(f"h{j}_{i}") for j in each for i in range(3)])
     drawn = drawn.select(
-        *keys, "g", "term", "ln_w",
-        *[F.expr(gamma(f"h{j}_0")).alias(f"r{j}") for j in each],
-        *[F.expr(gamma(f"h{j}_1")).alias(f"c{j}") for j in each],
+        *keep, "top", "term",
+        *[F.expr(f"{_uniform(f'h{j}_0', True)} * {_uniform(f'h{j}_0', False)}").alias(f"q{j}") for j in each],
+        *[F.expr(f"{_uniform(f'h{j}_1', True)} * {_uniform(f'h{j}_1', False)}").alias(f"x{j}") for j in each],
         *[F.expr(_uniform(f"h{j}_2", True)).alias(f"b{j}") for j in each],
     )
-    drawn = drawn.select("*", *[F.expr(f"floor(ln_w / r{j} + b{j})").alias(f"t{j}") for j in each])
-    drawn = drawn.select(
-        *keys, "g",
-        *[F.xxhash64("term", f"t{j}").alias(f"n{j}") for j in each],
-        *[F.expr(f"c{j} * exp(-r{j} * (t{j} - b{j} + 1D))").alias(f"v{j}") for j in each],
-    )
-    least = drawn.groupBy(*keys, "g").agg(*[F.min_by(f"n{j}", f"v{j}").alias(f"s{j}") for j in each])
-    hexes = [F.lower(F.substring(F.lpad(F.hex(f"s{j}"), 16, "0"), 9, 8)) for j in each]
-    part = least.select(*keys, "g", F.concat(*hexes).alias("part"))
-    whole = [F.max(F.when(F.col("g") == g, F.col("part"))) for g in range(-(-samples // _AT_ONCE))]
-    return part.groupBy(*keys).agg(F.left(F.concat(*whole), F.lit(8 * samples)).alias("fingerprint"))
+    root = lambda c: f"sqrt(sqrt({c}))"
+    drawn = drawn.select(*keep, "top", "term", *[f"{c}{j}" for j in each for c in "qxb"], *[F.expr(root(f"{c}{j}")).alias(f"{c}r{j}") for j in each for c in "qx"])
+    least = lambda j: f"8D * (1D - xr{j}) / (1D + xr{j})"
+    one = lambda j: f"(b{j} + (1D - b{j}) / qr{j})"
+    drawn = drawn.select(*keep, "top", "term", *[f"{c}{j}" for j in each for c in "qxb"], *[F.expr(f"{least(j)} * if(w0 <= 1 AND w1 <= 1, 1D / ({one(j)} * {one(j)} * {one(j)} * {one(j)}), q{j}) <= top").alias(f"near{j}") for j in each], F.spark_partition_id().alias("part"))
+    if enough:  # the partition's number, which isn't negative, only keeps this filter from being pushed below the sums it rests on
+        drawn = drawn.where(" OR ".join(f"near{j}" for j in each) + " OR part < 0")
+    drawn = drawn.select(*keep, "term", *[f"b{j}" for j in each], *[F.expr(f"if(near{j}, -ln(q{j}), null)").alias(f"r{j}") for j in each], *[F.expr(f"if(near{j}, ln(-ln(x{j})), null)").alias(f"c{j}") for j in each])
+    drawn = drawn.select(*keep, "term", *[f"{c}{j}" for j in each for c in "brc"], *[F.expr(f"if(w{i} > 0, floor(l{i} / r{j} + b{j}), null)").alias(f"t{i}_{j}") for j in each for i in (0, 1)])
+    value = lambda i, j: F.expr(f"c{j} - r{j} * (t{i}_{j} - b{j} + 1D)")
+    drawn = drawn.select(*keys, "g", "m0", "m1", "e0", "e1", *[F.expr(f"if(t{i}_{j} IS NULL, null, xxhash64(term, t{i}_{j}))").alias(f"n{i}_{j}") for j in each for i in (0, 1)], *[value(i, j).alias(f"v{i}_{j}") for j in each for i in (0, 1)])
+    if enough:  # what was left out is above this: only below it is the least one sure
+        drawn = drawn.select(*keys, "g", "m0", "m1", *[f"n{i}_{j}" for j in each for i in (0, 1)], *[F.expr(f"if(v{i}_{j} <= e{i}, v{i}_{j}, null)").alias(f"v{i}_{j}") for j in each for i in (0, 1)])
+    chosen = drawn.groupBy(*keys, "g").agg(F.max("m0").alias("n0"), F.max("m1").alias("n1"), *[F.min_by(f"n{i}_{j}", f"v{i}_{j}").alias(f"s{i}_{j}") for i in (0, 1) for j in each])
+    hexes = lambda i: F.concat(*[F.lower(F.substring(F.lpad(F.hex(f"s{i}_{j}"), 16, "0"), 9, 8)) for j in each])
+    part = chosen.select(*keys, "g", "n0", "n1", hexes(0).alias("part0"), hexes(1).alias("part1"))
+    # Every group of samples has a row for a key that has words; a null part makes the whole null.
+    parts = part.groupBy(*keys).agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"), F.sort_array(F.collect_list(F.struct("g", "part0", "part1"))).alias("parts"))
+    whole = lambda i: F.left(F.when(F.forall("parts", lambda x: x[f"part{i}"].isNotNull()), F.array_join(F.transform("parts", lambda x: x[f"part{i}"]), "")), F.lit(8 * samples))
+    return parts.select(*keys, "n0", "n1", whole(0).alias("fp0"), whole(1).alias("fp1"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -73,28 +99,29 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return same / float(samples)
 
 
+KEY = ["k1", "k2"]
+
+
 def next_in_order(keys: DataFrame, rows_a_bin: int = 200_000) -> DataFrame:
-    """``keys`` (``doc_id, key``, distinct) with ``next_key``: the next by descending doc_id, after the last the first.
+    """``keys`` (``doc_id, k1, k2``, distinct) with ``next``, the keys of the next by descending doc_id; after the last the first.
 
-    Equal ids follow by key; null ids come last. Ids are cut into ranges, each ordered by
-    itself; only the first key of each range is ordered over all.
+    Equal ids follow by key; null ids come last. Ranges of even size, whatever the gaps between
+    ids, are written with their number and ordered each by itself; only the first key of each
+    range is ordered over all.
     """
-    lo, hi, n = keys.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    bins = max(1, math.ceil(n / rows_a_bin))
-    width = ((hi - lo) / bins + 1) if lo is not None else 1
-    place = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo or 0))) / F.lit(float(width))), F.lit(-1)).cast("int")
-    order = (F.col("doc_id").desc_nulls_last(), F.col("key"))
-    binned = keys.withColumn("bin", place)
-    within = binned.withColumn("next_key", F.lead("key").over(Window.partitionBy("bin").orderBy(*order)))
+    order = (F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2"))
+    bins = max(1, math.ceil(keys.count() / rows_a_bin))
+    binned = materialise(keys.select("doc_id", F.struct(*KEY).alias("key"), *KEY).repartitionByRange(bins, *order).withColumn("bin", F.spark_partition_id()), "bins")
+    within = binned.withColumn("next", F.lead("key").over(Window.partitionBy("bin").orderBy(*order)))
     rank = F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "key")
     firsts = binned.groupBy("bin").agg(F.min_by("key", rank).alias("first"))
-    by_bin = Window.orderBy(F.col("bin").desc())  # one row for each range
+    by_bin = Window.orderBy("bin")  # one row for each range
     whole = by_bin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("bin", F.coalesce(F.lead("first").over(by_bin), F.first("first").over(whole)).alias("after"))
-    return within.join(firsts, "bin").select("doc_id", "key", F.coalesce("next_key", "after").alias("next_key"))
+    return within.join(firsts, "bin").select("doc_id", *KEY, F.coalesce("next", "after").alias("next"))
 
 
-def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, enough: float | None = ENOUGH) -> DataFrame:
     """Each text and its edited text, fingerprinted: the columns of the contract of op2.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all)
@@ -103,26 +130,32 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     text are one document in the order and each give a row. An empty table gives an empty one.
     """
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    source = source.withColumn("key", F.xxhash64("doc_id", "text"))
-    keys = materialise(source.groupBy("doc_id", "key").agg(F.max(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("copies")), "keys")
-    ring = materialise(next_in_order(keys.select("doc_id", "key")).select("key", "next_key"), "ring")
-    lengths = keys.select("key", F.col("n_chars").alias("n"), "copies")
-    before = ring.join(lengths, "key").select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    base = source.join(before, "key")
-    pieces = base.select(F.col("prev_key").alias("piece_key"), F.left("text", "need").alias("piece")).groupBy("piece_key").agg(F.max("piece").alias("piece"))
+    source = source.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    keys = materialise(source.groupBy("doc_id", *KEY).agg(F.max(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("copies")), "keys")
+    ring = materialise(next_in_order(keys.select("doc_id", *KEY)).select(*KEY, F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2")), "ring")
+    lengths = keys.select(*KEY, F.col("n_chars").alias("n"))
+    before = ring.join(lengths, KEY).select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    base = source.join(before, KEY)
+    pieces = base.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.left("text", "need").alias("piece")).groupBy(*KEY).agg(F.max("piece").alias("piece"))
     n = F.length("text")
-    whole = base.select("key", "doc_id", "text").join(pieces, F.col("key") == F.col("piece_key"))
+    whole = base.select(*KEY, "text").join(pieces, KEY)
     whole = whole.withColumn("edited", F.concat(F.left("text", n - F.floor(n / 2).cast("int")), "piece"))
-    both = whole.select("key", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x")).select("key", "x.which", "x.text")
-    prints = fingerprints(both, ["key", "which"], samples)
-    prints = prints.groupBy("key").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    prints = materialise(prints, "prints")
-    digests = materialise(whole.select("key", F.sha2("edited", 256).alias("edited_sha256")).distinct(), "digests")
+    worded = F.col("text").rlike(WORD) | F.col("edited").rlike(WORD)
+    digests = materialise(whole.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"), worded.alias("worded")).distinct(), "digests")
+    prints = materialise(pair_fingerprints(whole, KEY, samples=samples, enough=enough), "prints")
+    unseen = prints.where("(n0 > 0 AND fp0 IS NULL) OR (n1 > 0 AND fp1 IS NULL)").select(*KEY)
+    # A text none of whose samples was drawn has no row at all.
+    none_seen = digests.where("worded").join(prints, KEY, "left_anti").select(*KEY)
+    unseen = materialise(unseen.unionByName(none_seen), "unseen")
+    if not unseen.isEmpty():
+        again = materialise(pair_fingerprints(whole.join(unseen, KEY, "left_semi"), KEY, samples=samples, enough=None), "prints")
+        prints = prints.join(unseen, KEY, "left_anti").unionByName(again)
+    prints = prints.select(*KEY, F.col("fp0").alias("fingerprint"), F.col("fp1").alias("edited_fingerprint"))
     none = F.lit(NONE * samples)
-    every = keys.join(ring, "key").join(digests, "key").join(prints, "key", "left")
+    every = keys.join(ring, KEY).join(digests, KEY).join(prints, KEY, "left")
     every = every.withColumns({c: F.coalesce(c, none) for c in ("fingerprint", "edited_fingerprint")})
-    following = keys.select("key").join(prints, "key", "left").select(F.col("key").alias("next_key"), F.coalesce("fingerprint", none).alias("next_fingerprint"))
-    out = every.join(following, "next_key").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    following = keys.select(*KEY).join(prints, KEY, "left").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.coalesce("fingerprint", none).alias("next_fingerprint"))
+    out = every.join(following, ["n1", "n2"]).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,6 +34,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filters that spare shuffles: 16 MB at any size.
+_FILTER_BITS = 1 << 27
+
+
+def _bits(column: str) -> tuple[Column, Column]:
+    place = F.pmod(F.col(column), F.lit(_FILTER_BITS))
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+
+
+def maybe_in(rows: DataFrame, members: DataFrame, column: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false only where ``column`` isn't in ``members``, by a bitmap of fixed size (16 MB)."""
+    bucket, bit = _bits(column)
+    maps = members.select(bucket.alias("__ls_bucket"), bit.alias("bit")).groupBy("__ls_bucket").agg(F.bitmap_construct_agg("bit").alias("__ls_map"))
+    byte = F.conv(F.hex(F.substring("__ls_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    joined = rows.withColumn("__ls_bucket", bucket).join(F.broadcast(maps), "__ls_bucket", "left")
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__ls_bucket", "__ls_map")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Label every node of an edge list with the smallest node it can reach.
 

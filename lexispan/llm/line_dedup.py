@@ -1,11 +1,15 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-A line's path in the tree is its token count and its leading tokens, digits generalised; the
-leaf keeps the tokens that several of its lines have at the same place and generalises the
-rest. A template needs a share ``similarity`` of kept tokens, so two lines of one template
-agree in that share of places at least; a line below it is its own template. A template found
-in two or more documents is dropped everywhere but at its first line (smallest doc_id, then
-line number), so a passage stays once in the corpus.
+A line's path in the tree is its token count and its leading tokens, digits generalised. In its
+leaf a token is rated by the number of the leaf's distinct texts that have it at the same
+place, in powers of two; a line's templates keep the tokens of one rating and better and
+generalise the rest. A template that ``m`` texts share keeps its fixed tokens (``m`` texts or
+more have them) apart from field values of up to ``m / 2`` texts at the power of two between,
+at every size of the leaf, however often values recur and whatever else the leaf holds. A
+template needs a share ``similarity`` of kept tokens, so two lines of one template agree in
+that share of places at least; the whole line is a template too. A line of a template found
+in two or more documents is dropped, but at the template's first place (smallest doc_id, then
+line number) if ``keep_first``, so that a passage stays once in the corpus.
 """
 
 from __future__ import annotations
@@ -13,17 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, maybe_in, table
 
 #: A token with a digit is a variable field. The look-behind keeps the scan linear on long tokens.
 _FIELD = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*"
 _GAP = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
-#: Bits of the filter that spares the shuffle of lines whose leaf is unique: 16 MB at any size.
-_FILTER_BITS = 1 << 27
-#: Shares of a leaf at which the pipeline also looks for templates.
-SHARES = (1 / 128, 1 / 32, 1 / 8, 1 / 2)
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     """Each line, trimmed, with single blanks between tokens and ``<*>`` for tokens with digits.
 
@@ -37,96 +35,82 @@ def _lines(docs: DataFrame) -> DataFrame:
     flat = F.when(uneven, F.regexp_replace(F.regexp_replace(text, _GAP, " "), " ?\n ?", "\n")).otherwise(text)
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(flat, _FIELD, "<*>")).otherwise(flat)
     split = F.split(F.trim(masked), "\n")
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(split).alias("line_no", "masked"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(split).alias("line_no", "masked")).where("masked <> ''")
 
 
 def _n_tokens() -> Column:
-    return F.when(F.col("masked") == "", 0).otherwise(F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
-
-
-def _leaf(n: Column, depth: int) -> Column:
-    return F.xxhash64(n, F.substring_index("masked", " ", depth))
-
-
-def _with_some_member(lines: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``lines`` without most of those whose leaf isn't in ``leaves``, by a bitmap of fixed size."""
-    place = F.pmod("leaf", F.lit(_FILTER_BITS))
-    bits = leaves.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    hit = F.expr(
-        f"cast(conv(hex(substring(map, cast(bitmap_bit_position(pmod(leaf, {_FILTER_BITS})) / 8 AS int) + 1, 1)), 16, 10) AS int)"
-        f" & shiftleft(1, cast(bitmap_bit_position(pmod(leaf, {_FILTER_BITS})) % 8 AS int)) <> 0"
-    )
-    return lines.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "bucket").where(hit).drop("bucket", "map")
+    return F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
 
 
-def template_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75, shares: tuple[float, ...] = ()) -> DataFrame:
-    """One row for each line: ``doc_id, key, line_no, dropped``.
+def dropped_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.75, keep_first: bool = True) -> DataFrame:
+    """One row for each line that goes: ``doc_id, key, line_no``.
 
-    A token is kept where two texts of the leaf have it. Field values recur in large leaves, so
-    for each of ``shares`` a line also has a template of the tokens that this share of its
-    leaf's texts have; it goes if any of its templates has an earlier line.
+    A path has ``depth`` tokens, or all but one of a shorter line. A line that may generalise
+    no token (up to three at 0.75: one is more than a quarter) is its own and only template.
+    Texts are told apart by 128 bits.
     """
-    lines = _lines(docs).withColumn("n", _n_tokens())
-    # A blank line stands alone, so that no key gathers them.
-    own = F.when(F.col("n") > 0, F.xxhash64("masked")).otherwise(F.xxhash64("line_no", "key"))
-    slim = materialise(lines.select("doc_id", "key", "line_no", own.alias("own"), F.when(F.col("n") > depth, _leaf(F.col("n"), depth)).alias("leaf")), "lines")
+    n = _n_tokens()
+    need = F.ceil(n * F.lit(float(similarity))).cast("int")
+    path = F.least(F.lit(depth), n - 1)
+    leaf = F.when((need < n) & (n > 1), F.xxhash64(n, F.call_function("substring_index", F.col("masked"), F.lit(" "), path)))
+    own = {"o1": F.xxhash64("masked"), "o2": F.xxhash64(F.lit(1), "masked")}
+    lines = _lines(docs)
+    slim = materialise(lines.select("doc_id", "key", "line_no", *[v.alias(k) for k, v in own.items()], leaf.alias("leaf")), "lines")
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line_no")
-    who = F.struct("doc_id", "key")
     # Leaves of several texts: only their lines are looked at token by token.
-    wide = slim.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("leaf")
-    wide = materialise(wide, "leaves")
-    candidates = _with_some_member(lines.where(F.col("n") > depth).select("masked", "n", _leaf(F.col("n"), depth).alias("leaf")), wide)
-    # An inner join: a semi-join would be pushed below the filter.
-    texts = candidates.join(wide, "leaf").select("leaf", "masked", "n").distinct()
-    tokens = texts.select("leaf", F.xxhash64("masked").alias("own"), F.ceil(F.col("n") * F.lit(float(similarity))).cast("int").alias("need"), F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    cell = F.xxhash64("leaf", "at", "token").alias("cell")
-    tokens = materialise(tokens.where(F.col("at") >= depth).select(cell, "own", "need", "at", *(["leaf"] if shares else [])), "tokens")
-    if shares:
-        sizes = tokens.where(F.col("at") == depth).groupBy("leaf").agg(F.count("*").alias("texts"))
-        cells = tokens.groupBy("cell").agg(F.count("*").alias("count"), F.min("leaf").alias("leaf")).where("count > 1")
-        kept = cells.join(sizes, "leaf").select("cell", (F.col("count") / F.col("texts")).alias("share"))
-        shapes = tokens.join(kept, "cell").groupBy("own", "need").agg(F.expr("sort_array(collect_list(struct(at, cell, share)))").alias("all"))
-        levels = [F.expr(f"transform(filter(all, x -> x.share >= {float(q)!r}D), x -> struct(x.at, x.cell))") for q in (0.0, *shares)]
-        shapes = shapes.select("own", "need", F.explode(F.array(*levels)).alias("shape"))
-    else:
-        kept = tokens.groupBy("cell").count().where("count > 1").select("cell")
-        shapes = tokens.join(kept, "cell", "left_semi").groupBy("own", "need").agg(F.expr("sort_array(collect_list(struct(at, cell)))").alias("shape"))
-    general = shapes.where(F.size("shape") + depth >= F.col("need")).select("own", F.xxhash64("shape").alias("template"))
-    if shares:
-        general = general.distinct()
-    seen = slim.groupBy("own").agg(F.min(place).alias("first"), F.min(who).alias("lo"), F.max(who).alias("hi"))
-    named = seen.join(general, "own", "left").withColumn("template", F.coalesce("template", "own"))
-    named = materialise(named, "named")
-    recurring = named.groupBy("template").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("template", "first")
-    drop = named.select("own", "template").join(recurring, "template").select("own", "first")
-    if shares:  # a line isn't the first of all its templates if an earlier one leads any
-        drop = drop.groupBy("own").agg(F.min("first").alias("first"))
-    return slim.join(drop, "own", "left").select("doc_id", "key", "line_no", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place)).alias("dropped"))
-
-
-def dedup_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.75, shares: tuple[float, ...] = ()) -> DataFrame:
-    """``docs`` with recurring templates cut from ``text``, plus ``n_lines`` and ``n_dropped``.
+    wide = materialise(slim.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("o1").alias("x"), F.max("o1").alias("y")).where("x <> y").select("leaf"), "leaves")
+    open_lines = lines.select("masked", leaf.alias("leaf"), n.alias("n"), need.alias("need"), path.alias("path")).where("leaf IS NOT NULL")
+    # Equal texts meet before their shuffle; then the leaves that the bitmap let through by chance go.
+    texts = maybe_in(open_lines, wide, "leaf", "open").where("open").drop("open").distinct().join(wide, "leaf", "left_semi")
+    texts = materialise(texts.select("*", *[v.alias(k) for k, v in own.items()]), "texts")
+    tokens = texts.select("leaf", "n", "need", "path", "o1", "o2", F.posexplode(F.split("masked", " ")).alias("at", "token")).where("at >= path")
+    tokens = tokens.withColumn("cell", F.xxhash64("leaf", "at", "token"))
+    rated = tokens.groupBy("cell").agg(F.count("*").alias("count")).where("count > 1")
+    rated = materialise(rated.select("cell", F.length(F.bin("count")).alias("rating")), "cells")
+    kept = maybe_in(tokens.drop("token"), rated, "cell", "some").where("some").join(rated, "cell")
+    lists = kept.groupBy("o1", "o2", "leaf", "n", "need", "path").agg(F.sort_array(F.collect_list(F.struct("at", "cell", "rating"))).alias("cells"))
+    lists = lists.where(F.size("cells") + F.col("path") >= F.col("need"))
+    shape = lambda q: F.transform(F.filter("cells", lambda c: c["rating"] >= q), lambda c: F.struct(c["at"], c["cell"]))
+    shapes = lists.select("*", F.explode(F.array_distinct(F.transform("cells", lambda c: c["rating"]))).alias("q")).withColumn("shape", shape(F.col("q")))
+    size = F.size("shape") + F.col("path")
+    general = shapes.where((size >= F.col("need")) & (size < F.col("n"))).select("o1", "o2", F.xxhash64("leaf", "shape").alias("t1"), F.xxhash64(F.lit(1), "shape", "leaf").alias("t2"))
+    # Where the path alone is enough, the template that keeps nothing else.
+    bare = texts.where("path >= need").select("o1", "o2", F.xxhash64("leaf").alias("t1"), F.xxhash64(F.lit(1), "leaf").alias("t2"))
+    general = general.unionByName(bare)
+    seen = materialise(slim.groupBy("o1", "o2").agg(F.min(place).alias("first"), F.max(who).alias("last")), "seen")
+    several = F.struct("first.no_id", "first.doc_id", "first.key") != F.col("last")
+    named = materialise(general.join(seen, ["o1", "o2"]), "named")
+    recurring = named.groupBy("t1", "t2").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(several).select("t1", "t2", "first")
+    drop = named.select("o1", "o2", "t1", "t2").join(recurring, ["t1", "t2"]).select("o1", "o2", "first")
+    # A line isn't the first of all its templates if an earlier one leads any.
+    drop = drop.unionByName(seen.where(several).select("o1", "o2", "first")).groupBy("o1", "o2").agg(F.min("first").alias("first"))
+    gone = slim.join(drop, ["o1", "o2"])
+    return (gone.where(F.col("first") != place) if keep_first else gone).select("doc_id", "key", "line_no")
+
+
+def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.75, keep_first: bool = True) -> DataFrame:
+    """``docs`` with lines of recurring templates cut from ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Every row stays and other columns pass unchanged; ``n_chars``, if there, is the new length.
     A null text stays null with no lines; an empty text is one blank line; blank lines are
     never dropped. Rows that repeat doc_id and text count as one document. An empty table
-    gives an empty table.
+    gives an empty table. Only documents that lose a line are shuffled with their texts.
     """
-    flags = (
-        template_lines(docs.select("doc_id", "text"), depth, similarity, shares)
-        .distinct()
-        .groupBy("doc_id", "key")
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", "dropped"))).alias("flags"))
-        .select(F.col("doc_id").alias("__ls_id"), F.col("key").alias("__ls_key"), F.col("flags.dropped").alias("__ls_flags"))
-    )
-    left = docs.withColumn("__ls_hash", F.xxhash64("doc_id", "text"))
-    joined = left.join(flags, (F.col("__ls_hash") == F.col("__ls_key")) & F.col("doc_id").eqNullSafe(F.col("__ls_id")), "left")
-    n_dropped = F.coalesce(F.size(F.filter("__ls_flags", lambda x: x)), F.lit(0))
-    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.element_at("__ls_flags", i + 1)), "\n")
-    text = F.when(F.exists("__ls_flags", lambda x: x), cut).otherwise(F.col("text"))
-    new = {"text": text, "n_lines": F.coalesce(F.size("__ls_flags"), F.lit(0)), "n_dropped": n_dropped}
-    out = joined.select(*[new["text"].alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], new["n_lines"].alias("n_lines"), new["n_dropped"].alias("n_dropped"))
+    gone = dropped_lines(docs.select("doc_id", "text"), depth, similarity, keep_first)
+    gone = gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone"))
+    gone = materialise(gone.select(F.col("doc_id").alias("__ls_id"), F.col("key").alias("__ls_key"), F.col("gone").alias("__ls_gone")), "gone")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    left = docs.select(*kept, F.xxhash64("doc_id", "text").alias("__ls_hash"))
+    marked = maybe_in(left, gone.select(F.col("__ls_key").alias("__ls_hash")), "__ls_hash", "__ls_some")
+    whole = marked.where("NOT __ls_some").withColumn("__ls_gone", F.lit(None).cast("array<int>"))
+    some = marked.where("__ls_some").join(gone, (F.col("__ls_hash") == F.col("__ls_key")) & F.col("doc_id").eqNullSafe(F.col("__ls_id")), "left")
+    every = whole.unionByName(some.drop("__ls_id", "__ls_key"))
+    split = F.split("text", "\n")
+    cut = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__ls_gone", i)), "\n")
+    text = F.when(F.col("__ls_gone").isNotNull(), cut).otherwise(F.col("text"))
+    new = {"text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)), "n_dropped": F.when(F.col("__ls_gone").isNull(), 0).otherwise(F.size("__ls_gone"))}
+    out = every.select(*[new["text"].alias(c) if c == "text" else F.col(c) for c in kept], new["n_lines"].alias("n_lines"), new["n_dropped"].alias("n_dropped"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -140,21 +124,28 @@ WITH lines AS (
          '[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS own, line
   FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), t AS (
-  SELECT *, CASE WHEN own = '' THEN 0 ELSE len(string_split(own, ' ')) END AS n, array_to_string(string_split(own, ' ')[1:4], ' ') AS head FROM lines
-), texts AS (SELECT DISTINCT n, head, own FROM t WHERE n > 4
+  SELECT *, len(string_split(own, ' ')) AS n FROM lines WHERE own <> ''
+), p AS (SELECT *, array_to_string(string_split(own, ' ')[1:least(3, n - 1)], ' ') AS head, least(3, n - 1) AS path, ceil(n * 0.75) AS need FROM t
+), texts AS (SELECT DISTINCT n, head, path, need, own FROM p WHERE need < n AND n > 1
 ), tokens AS (
-  SELECT n, head, own, unnest(string_split(own, ' ')) AS token, unnest(range(n)) AS pos FROM texts
-), kept AS (SELECT n, head, pos, token FROM tokens WHERE pos >= 4 GROUP BY ALL HAVING count(*) > 1
+  SELECT * FROM (SELECT *, unnest(string_split(own, ' ')) AS token, unnest(range(n)) AS pos FROM texts) WHERE pos >= path
+), cells AS (SELECT n, head, pos, token, length(bin(count(*))) AS rating FROM tokens GROUP BY ALL HAVING count(*) > 1
+), kept AS (SELECT * FROM tokens JOIN cells USING (n, head, pos, token)
+), ratings AS (SELECT DISTINCT n, head, own, rating AS q FROM kept
 ), general AS (
-  SELECT n, head, own, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS template
-  FROM tokens JOIN kept USING (n, head, pos, token) GROUP BY n, head, own HAVING count(*) + 4 >= n * 0.75
-), named AS (SELECT t.*, coalesce('g' || template, 'o' || own) AS template FROM t LEFT JOIN general USING (n, head, own)
+  SELECT DISTINCT n, head, own, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS template
+  FROM kept JOIN ratings USING (n, head, own) WHERE rating >= q GROUP BY n, head, own, path, need, q
+  HAVING count(*) + path >= need AND count(*) + path < n
+  UNION ALL SELECT n, head, own, '' FROM texts WHERE path >= need
+), named AS (
+  SELECT p.doc_id, line_no, p.n, p.head, 'o' || own AS template FROM p
+  UNION ALL SELECT p.doc_id, line_no, p.n, p.head, 'g' || template FROM p JOIN general USING (n, head, own)
 ), recurring AS (
-  SELECT n, head, template, min(struct_pack(d := doc_id, l := line_no)) AS first FROM named WHERE n > 0
-  GROUP BY n, head, template HAVING min(doc_id) <> max(doc_id)
+  SELECT n, head, template, min(struct_pack(d := doc_id, l := line_no)) AS first FROM named GROUP BY n, head, template HAVING min(doc_id) <> max(doc_id)
+), firsts AS (SELECT doc_id, line_no, min(first) AS first FROM named JOIN recurring USING (n, head, template) GROUP BY doc_id, line_no
 ), flagged AS (
-  SELECT named.doc_id, line_no, line, first IS NOT NULL AND first <> struct_pack(d := doc_id, l := line_no) AS dropped
-  FROM named LEFT JOIN recurring USING (n, head, template)
+  SELECT lines.doc_id, lines.line_no, line, first IS NOT NULL AND first <> struct_pack(d := lines.doc_id, l := lines.line_no) AS dropped
+  FROM lines LEFT JOIN firsts ON lines.doc_id = firsts.doc_id AND lines.line_no = firsts.line_no
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT dropped), '') AS text,
        count(*)::INT AS n_lines, (count(*) FILTER (dropped))::INT AS n_dropped

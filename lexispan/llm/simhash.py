@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, materialise, table
+from .common import WORD, connected_components, materialise, maybe_in, table
 
 _WORDS = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -28,6 +28,8 @@ _SEED = 42
 _CHUNK = 1 << 16
 #: Sets of so many shingles at most meet by prefix filtering, which misses no link: their bits say too little.
 EXACT = 64
+#: Comparisons that a bucket may take before it is split.
+CROWD = 1_000_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -94,49 +96,88 @@ def hamming(x: Column, y: Column) -> Column:
 
 
 def block_keys(fp: Column, blocks: int, agree: int) -> Column:
-    """Keys of a 64-bit fingerprint: one for each choice of ``agree`` of its ``blocks`` blocks.
+    """``key, used`` of a 64-bit fingerprint: one for each choice of ``agree`` of its ``blocks`` blocks.
 
-    Two fingerprints within ``blocks - agree`` bits share a key at least.
+    Two fingerprints within ``blocks - agree`` bits share a key at least; ``used`` are the bits
+    that members of its bucket agree in.
     """
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = []
     for k, chosen in enumerate(itertools.combinations(range(blocks), agree)):
-        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen)
-        keys.append(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
+        mask = F.lit(_signed(sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen))).cast("long")
+        keys.append(F.struct(F.xxhash64(F.lit(k), fp.bitwiseAND(mask)).alias("key"), mask.alias("used")))
     return F.array(*keys)
 
 
-def link_components(members: DataFrame, close, sketches: DataFrame | None = None, verify=None) -> DataFrame:
+def link_components(members: DataFrame, close, sketches: DataFrame | None = None, verify=None, split=None, splits: int = 64, crowd: int = CROWD) -> DataFrame:
     """Components of nodes that share a bucket and are close: ``node, label`` for nodes with links.
 
-    ``members`` has ``key, node``; ``close(x, y)`` is a condition on two sketches, which
-    ``sketches`` gives by node (a node is its own sketch without it), and ``verify`` an optional
-    exact filter of pairs ``a, b``. First every bucket's members meet its smallest node. Then a
-    bucket that still holds several components compares the members outside its largest
-    component with those of other components. Every close pair that shares a bucket ends in
-    one component, and pairs grow with the links that join groups, not with the square of a
-    group.
+    ``members`` has ``key, node`` and what ``split`` needs; ``close(x, y)`` is a condition on two
+    sketches, which ``sketches`` gives by node (a node is its own sketch without it), and
+    ``verify`` an optional exact filter of pairs ``a, b``. Every bucket's members meet its
+    smallest node first. A bucket that still holds several components compares the members
+    outside its largest component with those of other components. Where that takes over
+    ``crowd`` comparisons, ``split`` gives the bucket's members finer keys, such that every
+    close pair of the bucket shares one, and these go the same way, ``splits`` times at most; so
+    no large group is compared with itself as a whole. Every close pair that shares a bucket ends in one component.
     """
     verify = verify or (lambda pairs: pairs.where(close(F.col("a"), F.col("b"))))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    shared = materialise(members.join(hubs, "key"), "shared")
-    first = materialise(verify(shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "links")
-    labels = connected_components(first)
-    placed = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("key", "label").count()
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = placed.join(mixed.select("key", "main"), "key")
-    placed = materialise(placed.join(sketches, "node") if sketches is not None else placed.withColumn("sketch", F.col("node")), "placed")
-    other = placed.select(F.col("key"), F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("label").alias("lb"), F.col("main").alias("mb"))
-    outside = placed.where("label <> main").select("key", F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("label").alias("la"))
-    pairs = (
-        outside.join(other, "key")
-        .where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("mb")) | (F.col("a") < F.col("b"))) & close(F.col("sa"), F.col("sb")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    second = materialise(verify(pairs), "links")
-    return connected_components(first.select("a", "b").unionByName(second.select("a", "b")))
+    links, level = None, members
+    for turn in itertools.count():
+        hubs = level.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+        shared = materialise(level.join(hubs, "key"), "shared")
+        if turn and shared.isEmpty():
+            break
+        first = materialise(verify(shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b"), "links")
+        links = first if links is None else links.unionByName(first)
+        labels = connected_components(links)
+        placed = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = placed.groupBy("key", "label").count()
+        mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("n"), F.max("count").alias("top")).where("parts > 1")
+        mixed = materialise(mixed.select("key", "main", ((F.col("n") - F.col("top")) * F.col("n") > crowd).alias("crowded")), "mixed")
+        again = split is not None and turn < splits
+        few = mixed.where("NOT crowded") if again else mixed
+        placed = placed.join(few.select("key", "main"), "key")
+        placed = materialise(placed.join(sketches, "node") if sketches is not None else placed.withColumn("sketch", F.col("node")), "placed")
+        other = placed.select(F.col("key"), F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("label").alias("lb"), F.col("main").alias("mb"))
+        outside = placed.where("label <> main").select("key", F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("label").alias("la"))
+        pairs = (
+            outside.join(other, "key")
+            .where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("mb")) | (F.col("a") < F.col("b"))) & close(F.col("sa"), F.col("sb")))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .distinct()
+        )
+        links = links.unionByName(materialise(verify(pairs).select("a", "b"), "links"))
+        crowded = mixed.where("crowded").select("key")
+        if not again or crowded.isEmpty():
+            break
+        level = materialise(split(shared.drop("hub").join(crowded, "key", "left_semi")), "split")
+    return connected_components(links)
+
+
+def finer_blocks(distance: int):
+    """Splits crowded buckets (``key, node, used``: the bits their members agree in) by the bits not used yet.
+
+    Two fingerprints within ``distance`` bits agree in one of ``distance + 1`` parts of the
+    other bits. Fingerprints that agree in all bits are one node, so splitting ends.
+    """
+
+    def split(crowded: DataFrame) -> DataFrame:
+        rows = []
+        for (used,) in crowded.select("used").distinct().collect():  # one for each choice of blocks, whatever the data
+            free = [b for b in range(64) if not used >> b & 1]
+            for g in range(distance + 1):
+                part = sum(1 << b for b in free[g :: distance + 1])
+                rows.append((used, _signed(part), _signed((used | part) & (2**64 - 1))))
+        parts = crowded.sparkSession.createDataFrame(rows, "used long, part long, next long").where("part <> 0")
+        finer = F.xxhash64("key", "part", F.col("node").bitwiseAND(F.col("part")))
+        return crowded.join(F.broadcast(parts), "used").select(finer.alias("key"), "node", F.col("next").alias("used"))
+
+    return split
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 & 1 else x
 
 
 def simhash_components(docs: DataFrame, size: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -150,8 +191,8 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 3, blocks
     rows = add_fingerprints(docs.select("doc_id", "text"), size).select("doc_id", F.col("fp")[0].alias("node"))
     rows = materialise(rows, "fingerprints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    members = nodes.select("node", F.explode(block_keys(F.col("node"), blocks, blocks - distance)).alias("key"))
-    labels = link_components(members, lambda x, y: hamming(x, y) <= distance)
+    members = nodes.select("node", F.explode(block_keys(F.col("node"), blocks, blocks - distance)).alias("x")).select("node", "x.*")
+    labels = link_components(members, lambda x, y: hamming(x, y) <= distance, split=finer_blocks(distance))
     placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     known = placed.join(least, "label").select("node", "component_id")
@@ -160,145 +201,146 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 3, blocks
 
 # --- near-duplicate documents by similarity of word shingles ---------------------------------
 
+#: Cells of the count of shingles, and the share of all from which a cell's shingles come last in the order.
+CELLS = 1 << 20
+HEAVY = 2.0**-20
+#: Shingles of a set that its row carries beyond its prefix, for splitting.
+SPARE = 6
+_LONGS = 2
 
-def blocks_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Block width in bits and number of blocks for ``n`` documents.
-
-    Widths follow log2 of ``n``, so that a bucket holds few unrelated documents at any size. A
-    Jaccard similarity s is a cosine of 2s/(1+s), whose angle gives the chance of a differing
-    bit; the number of blocks makes pairs at the threshold share one with chance ``recall``.
-    """
-    width = max(16, math.ceil(math.log2(max(n, 2))) + 4)
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return width, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differ) ** width)))
 
+def _map_text(df: DataFrame, kept: list[str], schema: str, make, names: list[str]) -> DataFrame:
+    """``kept`` columns and what ``make`` gives for each text, as columns ``names``."""
 
-def _slices(width: int, blocks: int) -> Column:
-    """Keys from ``fp``: its bits cut into blocks of ``width``, each with its number."""
-    keys = []
-    for k in range(blocks):
-        word, bit = divmod(k * width, 64)
-        part = F.shiftrightunsigned(F.col("fp")[word], bit)
-        if bit + width > 64:
-            part = part.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - bit))
-        keys.append(F.xxhash64(F.lit(k), part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))))
-    return F.array(*keys)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+        for batch in batches:
+            rows = [make(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("text"))]
+            types = types or [pa.int64() if not s.startswith("array") else pa.list_(pa.int64()) for s in kinds]
+            new = [pa.array([r[i] for r in rows], types[i]) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *new], names=[*kept, *names])
 
+    kinds = [part.split()[1] for part in schema.split(", ")]
+    own = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    return df.select(*kept, "text").mapInArrow(run, f"{own}, {schema}" if kept else schema)
 
-def _differing(x: str, y: str, longs: int) -> Column:
-    """Hamming distance of the first ``longs`` words of two fingerprints."""
-    total = hamming(F.col(x)[0], F.col(y)[0])
-    for i in range(1, longs):
-        total = total + hamming(F.col(x)[i], F.col(y)[i])
-    return total
 
+def heavy_cells(docs: DataFrame, size: int) -> np.ndarray:
+    """Counts of shingles by cell of their hash, over all texts; 0 but for shares of ``HEAVY`` and more.
 
-def add_shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with ``shingles``, the sorted distinct shingle hashes, in place of ``text``."""
-    kept = [f for f in docs.schema if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shingles array<bigint>"])
+    A task counts all its shingles and sends the cells that are heavy in its own part, so at most
+    1 / HEAVY rows; as many at most are heavy over all and reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or "", size)).view(np.int64) for t in batch.column(batch.schema.get_field_index("text"))]
-            names = [f.name for f in kept]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"])
+            for t in batch.column(0):
+                cells, n = np.unique(shingle_hashes(t.as_py() or "", size) >> np.uint64(44), return_counts=True)
+                counts[cells.astype(np.int64)] += n
+        total = int(counts.sum())
+        at = np.flatnonzero((counts >= 16) & (counts >= HEAVY * total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(counts[at], total), pa.int64())], names=["cell", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = materialise(sums, "cells")
+    total = sums.where("cell = -1").agg(F.sum("n")).first()[0] or 0
+    found = sums.where(F.col("cell").between(0, CELLS - 1) & (F.col("n") >= HEAVY * total)).toArrow()
+    out = np.zeros(CELLS, dtype=np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
 
-    return docs.mapInArrow(run, schema)
 
+def prefix_length(n: int, similarity: float) -> int:
+    """How many first shingles of a set of ``n``, in any order common to all, hold one of every set that similar."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-def _add_nodes(docs: DataFrame, size: int, longs: int, similarity: float) -> DataFrame:
-    """``doc_id, key, node, fp, shingles``: ``node`` stands for a shingle set.
 
-    ``fp`` is the SimHash of sets above ``EXACT`` shingles, ``shingles`` the sets that can be
-    close to one of at most ``EXACT``; otherwise they are null.
-    """
+def _add_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``doc_id, key, h1, h2, n, f1, f2, first``: digest, size, SimHash and first shingles of each text's set."""
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_cells(docs, size))  # 8 MB
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, fps, sets = [], [], []
-            for t in batch.column(2):
-                h = np.unique(shingle_hashes(t.as_py() or "", size))
-                nodes.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), _SEED)).view(np.int64)))
-                fps.append(fingerprint(h, longs) if len(h) > EXACT else None)
-                sets.append(h.view(np.int64) if 0 < len(h) <= EXACT / similarity else None)
-            arrays = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "node", "fp", "shingles"])
+    def make(text: str) -> tuple:
+        h = np.unique(shingle_hashes(text, size))
+        digest = xxhash.xxh3_128_intdigest(h.tobytes())
+        ordered = h[np.lexsort((h, heavy.value[(h >> np.uint64(44)).astype(np.int64)]))] if len(h) else h
+        return (_signed(digest >> 64), _signed(digest & (2**64 - 1)), len(h), *fingerprint(h, _LONGS), ordered[: prefix_length(len(h), similarity) + SPARE].view(np.int64))
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, node long, fp array<bigint>, shingles array<bigint>")
+    return _map_text(keyed, ["doc_id", "key"], "h1 long, h2 long, n long, f1 long, f2 long, first array<bigint>", make, ["h1", "h2", "n", "f1", "f2", "first"])
 
 
-def _alike(x: Column, y: Column, similarity: float) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return (F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y))) & (both >= similarity * (F.size(x) + F.size(y) - both))
+def _needed(similarity: float) -> Column:
+    return F.ceil(F.col("n") * F.lit(float(similarity)) - F.lit(1e-9)).cast("int")
 
 
-def small_set_components(sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, label`` over every link of ``sets`` (``node, shingles``), by prefix filtering.
+def longer_prefixes(nodes: DataFrame, similarity: float):
+    """Splits crowded buckets (``key, node, chosen``: the shingles their members share) by one more shingle.
 
-    With shingles ordered by how many sets have them, two sets of this similarity share one of
-    their first n - ceil(similarity * n) + 1. Shingles of one set only come first and meet none.
+    Sets this similar share ``l`` of their first n - ceil(similarity n) + l shingles at least. A
+    set that can't hold more than it shares already stays with its like.
     """
-    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    common = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = each.join(common, "key").groupBy("node", "n").agg(F.expr("sort_array(collect_list(struct(sets, key)))").alias("shared"))
-    take = F.col("n") - F.ceil(F.col("n") * F.lit(float(similarity)) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("shared"))
-    members = shared.withColumn("take", take).where("take > 0").select("node", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select("node", "x.key")
-    members = materialise(members, "prefixes")
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(x, "a").join(y, "b").where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
+    def split(crowded: DataFrame) -> DataFrame:
+        some = crowded.join(nodes.select("node", "n", "first"), "node").withColumn("l", F.size("chosen") + 1)
+        room = F.col("n") - _needed(similarity) + F.col("l")
+        more = F.array_except(F.slice("first", F.lit(1), F.least(room, F.size("first")).cast("int")), "chosen")
+        more = F.when(_needed(similarity) < F.col("l"), F.array_append(more, F.lit(None).cast("long"))).otherwise(more)
+        each = some.select("node", "chosen", F.explode(more).alias("e"))
+        chosen = F.array_sort(F.array_append("chosen", F.col("e")))
+        return each.select(chosen.alias("chosen"), "node").select(F.xxhash64("chosen").alias("key"), "node", "chosen").distinct()
 
-    return link_components(members, lambda x, y: _alike(x, y, similarity), sets.select("node", F.col("shingles").alias("sketch")), verify)
+    return split
 
 
-def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def _may_be_alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sizes and SimHash let two sets be this similar, by six standard deviations; small sets by size alone."""
+    bits = 64 * _LONGS
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = bits * differ + 6 * math.sqrt(bits * differ * (1 - differ))
+    small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    far = hamming(x["f1"], y["f1"]) + hamming(x["f2"], y["f2"])
+    return (small >= similarity * large) & ((small <= EXACT) | (far <= most))
+
+
+def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, key, node`` of ``docs``, and ``node, label`` of shingle sets with near copies.
 
     Two texts link if the Jaccard similarity of their sets of ``size``-word shingles is
-    ``similarity`` or more. Every link of a set of at most ``EXACT`` shingles is found. Larger
-    sets are candidates if they share a block of a long SimHash, planned for a chance of
-    ``recall`` at the threshold, and if the Hamming distance of 1,024 bits doesn't rule the
-    similarity out (by four standard deviations); they then pass by the exact similarity.
+    ``similarity`` or more; every link is found. Blocks of a SimHash can't do that at 0.8: a
+    bit differs with chance 0.152, so two texts differ in 10 of 64 bits, blocks that 95 % of
+    links survive need about 3 n^0.24 keys each (110 for 2e5 texts, 800 for 1e9). So candidates
+    share one of their first 0.2 n + 1 shingles in an order common to all, frequent ones last
+    (prefix filtering: a fifth of the text's words whatever the number of texts), and SimHash
+    verifies them by its Hamming distance over 128 bits before the exact similarity does.
     """
-    width, blocks = blocks_for(docs.count(), similarity, recall)
-    longs, checked = max(16, math.ceil(width * blocks / 64)), 16
-    rows = materialise(_add_nodes(docs, size, longs, similarity), "shingled")
-    nodes = materialise(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "nodes")
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = lambda bits: bits * differ + 4 * math.sqrt(bits * differ * (1 - differ))
+    rows = materialise(_add_sets(docs, size, similarity), "shingled")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep")
+    nodes = rows.groupBy("h1", "h2").agg(rep, *[F.first(c).alias(c) for c in ("n", "f1", "f2", "first")])
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("node", F.explode(F.slice("first", F.lit(1), F.greatest(F.col("n") - _needed(similarity) + 1, F.lit(0)).cast("int"))).alias("shingle"))
+    common = materialise(each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle"), "common")
+    members = maybe_in(each, common, "shingle", "some").where("some").select(F.col("shingle").alias("key"), "node", F.array("shingle").alias("chosen"))
+    sketches = nodes.select("node", F.struct("n", "f1", "f2").alias("sketch"))
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        fps = nodes.select("node", F.slice("fp", 1, checked).alias("f"))
-        near = pairs.join(fps.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(fps.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-        near = materialise(near.where(_differing("fa", "fb", checked) <= most(64 * checked)).select("a", "b"), "near")
+        near = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+        near = materialise(near.where(_may_be_alike(F.col("x"), F.col("y"), similarity)).select("a", "b"), "near")
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep.doc_id", "rep.key"), "node")
-        wanted = wanted.select("node", F.col("doc_id").alias("rep_id"), F.col("key").alias("rep_key"))
-        found = texts.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
-        sets = materialise(add_shingle_sets(found.dropDuplicates(["node"]), size), "sets")
+        wanted = materialise(wanted.select("node", F.col("doc_id").alias("rep_id"), F.col("key").alias("rep_key")), "wanted")
+        found = maybe_in(texts, wanted.select(F.col("rep_key").alias("key")), "key", "some").where("some").drop("some")
+        found = found.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text").dropDuplicates(["node"])
+        sets = materialise(_map_text(found, ["node"], "shingles array<bigint>", lambda t: (np.unique(shingle_hashes(t, size)).view(np.int64),), ["shingles"]), "sets")
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return near.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    small = small_set_components(nodes.where("shingles IS NOT NULL").select("node", "shingles"), similarity)
-    large = nodes.where("fp IS NOT NULL")
-    members = large.select("node", F.explode(_slices(width, blocks)).alias("key"))
-    half = checked // 2
-    labels = link_components(members, lambda x, y: _sketch_distance(x, y, half) <= most(64 * half), large.select("node", F.slice("fp", 1, half).alias("sketch")), verify)
-    return rows.select("doc_id", "key", "node"), connected_components(small.unionByName(labels), "node", "label")
-
-
-def _sketch_distance(x: Column, y: Column, longs: int) -> Column:
-    total = hamming(x[0], y[0])
-    for i in range(1, longs):
-        total = total + hamming(x[i], y[i])
-    return total
+    labels = link_components(members, lambda x, y: _may_be_alike(x, y, similarity), sketches, verify, longer_prefixes(nodes, similarity), SPARE)
+    return rows.select("doc_id", "key", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "key", "node"), labels
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     Groups are connected over links (see :func:`near_duplicate_groups`). Equal texts always
@@ -306,12 +348,17 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     smallest text hash stays, and of rows that repeat a document all stay or none. A null
     doc_id comes last. An empty table gives an empty table.
     """
-    rows, labels = near_duplicate_groups(docs.select("doc_id", "text"), size, similarity, recall)
+    rows, labels = near_duplicate_groups(docs.select("doc_id", "text"), size, similarity)
     placed = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    kept = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("keep"))
-    kept = kept.select(F.col("keep.doc_id").alias("__ls_id"), F.col("keep.key").alias("__ls_key"))
-    hashed = docs.withColumn("__ls_hash", F.xxhash64("doc_id", "text"))
-    return hashed.join(kept, (F.col("__ls_hash") == F.col("__ls_key")) & F.col("doc_id").eqNullSafe(F.col("__ls_id")), "left_semi").drop("__ls_hash")
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    placed = materialise(placed.groupBy("label", "doc_id", "key").agg(F.count("*").alias("rows")), "placed")
+    kept = placed.groupBy("label").agg(F.min(who).alias("keep"), F.count("*").alias("n")).where("n > 1").select("label", "keep")
+    gone = placed.join(kept, "label").where(F.col("keep") != who).select(F.col("doc_id").alias("__ls_id"), F.col("key").alias("__ls_key"))
+    gone = materialise(gone, "gone")
+    hashed = maybe_in(docs.withColumn("__ls_hash", F.xxhash64("doc_id", "text")), gone.select(F.col("__ls_key").alias("__ls_hash")), "__ls_hash", "__ls_some")
+    same = (F.col("__ls_hash") == F.col("__ls_key")) & F.col("doc_id").eqNullSafe(F.col("__ls_id"))
+    stay = hashed.where("NOT __ls_some").unionByName(hashed.where("__ls_some").join(gone, same, "left_anti"))
+    return stay.select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,19 @@
 """A quality classifier by co-training of two views of a document.
 
-One classifier sees the text, the other the metadata (language, source, declared length).
-Over some rounds each labels the documents of an unlabelled pool that it is sure of, by
-probabilities calibrated on labelled documents kept apart, for the other to learn from. Both
-calibrated views are then combined, and every document is scored. Only fitting uses samples:
-at most ``labelled`` labelled and ``pool`` unlabelled documents, taken in the order of a
-digest of their ids; both are bounds of this module's parameters.
+One classifier sees the text (hashed words and word pairs, and its shape), the other the
+metadata (language, source, declared length). Over some rounds each scores all documents, and
+the ones of either class that it is surest of, by probabilities calibrated on labelled
+documents kept apart, teach the other with that probability. Both calibrated views are then
+combined, and every document is scored. Only the labelled rows to fit on are a sample: at
+most ``labelled``, in the order of a digest of their ids. Each round passes over all
+documents and gathers its ``added`` surest of each class and view.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, materialise, table
 
 LABELLED = 12_000
-POOL = 6_000
-ROUNDS = 4
-#: Calibrated probability from which a pseudo-label counts as certain, and how many a class and round.
-SURE = 0.97
-ADDED = 400
+ROUNDS = 2
+#: Pseudo-labels of each class that a view gives in a round, and their weight beside a label's.
+ADDED = 1_000
+TRUST = 0.5
 THRESHOLD = 0.5
+#: Cells that words and word pairs are hashed to.
+CELLS = 1 << 15
 
 _WORDS = re.compile(WORD)
 _UPPER = np.zeros(256, bool)
@@ -38,31 +40,42 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _SOURCES = 64
+_codes: dict[str, int] = {}
 
 
-def text_features(text: str) -> list[float]:
-    """Shape of a text: lengths, repetition of words, pairs and lines, kinds of characters."""
+def text_features(text: str) -> tuple[list[float], np.ndarray]:
+    """Shape of a text (lengths, repetition, kinds of characters) and the cells of its words and pairs."""
     words = _WORDS.findall(text)
+    if len(_codes) > 500_000:
+        _codes.clear()
+    for w in set(words):
+        if w not in _codes:
+            _codes[w] = zlib.crc32(w.encode())
+    codes = np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
+    own, counts = np.unique(codes, return_counts=True)
+    pairs = np.unique((codes[:-1] << np.uint64(32)) | codes[1:])
+    mixed = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+    cells = np.unique(np.concatenate([own & np.uint64(CELLS - 1), mixed & np.uint64(CELLS - 1)])).astype(np.int32)
     lines = text.split("\n")
     n, m = max(1, len(words)), max(1, len(words) - 1)
-    counts = Counter(words)
     bytes_ = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     size = max(1, int(bytes_.sum()))
-    return [
+    shape = [
         np.log1p(len(words)),
-        len(counts) / n,
-        max(counts.values(), default=0) / n,
-        len(set(zip(words, words[1:], strict=False))) / m,
+        len(own) / n,
+        int(counts.max(initial=0)) / n,
+        len(pairs) / m,
         len(set(lines)) / len(lines),
         n / len(lines),
         len(text) / n,
-        max(map(len, counts), default=0),
+        max(map(len, words), default=0),
         bytes_[_UPPER].sum() / size,
         bytes_[_DIGIT].sum() / size,
         bytes_[_PUNCTUATION].sum() / size,
         bytes_[124] / n,
         bytes_[128:].sum() / size,
     ]
+    return shape, cells
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, float]:
@@ -72,52 +85,39 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
 
 
 @dataclass
-class Binned:
-    """Logistic regression over one-hot bins: any shape of dependence on each feature."""
+class Rows:
+    """Features of some documents: shape, cells and metadata."""
 
-    cuts: list[np.ndarray] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    scale: tuple[float, float] = (1.0, 0.0)
+    shape: np.ndarray
+    cells: list[np.ndarray]
+    meta: np.ndarray
 
-    def design(self, x: np.ndarray) -> np.ndarray:
-        out = [np.ones((len(x), 1))]
-        for i, cut in enumerate(self.cuts):
-            out.append(np.eye(len(cut) + 1)[np.searchsorted(cut, x[:, i], side="right")])
-        return np.hstack(out)
+    def __len__(self) -> int:
+        return len(self.cells)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> Binned:
-        if not self.cuts:
-            self.cuts = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, 17)[1:-1])) for i in range(x.shape[1])]
-        self.weights = _logistic(self.design(x), y, w, ridge)
-        return self
+    def take(self, rows: np.ndarray) -> Rows:
+        at = np.flatnonzero(rows) if rows.dtype == bool else rows
+        return Rows(self.shape[at], [self.cells[i] for i in at], self.meta[at])
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.design(x) @ self.weights
+    def plus(self, other: Rows) -> Rows:
+        return Rows(np.vstack([self.shape, other.shape]), self.cells + other.cells, np.vstack([self.meta, other.meta]))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Binned:
-        z = self.raw(x)
-        a, b = _logistic(np.column_stack([z, np.ones(len(z))]), y, np.ones(len(y)), 1e-2)
-        self.scale = (float(a), float(b))
-        return self
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.raw(x) * self.scale[0] + self.scale[1]
+def rows_of(texts: list[str | None], meta: list[tuple]) -> Rows:
+    found = [text_features(t or "") for t in texts]
+    shape = np.array([f[0] for f in found], dtype=float).reshape(-1, 13)
+    return Rows(shape, [f[1] for f in found], np.array([meta_features(*m) for m in meta], dtype=float).reshape(-1, 3))
 
 
-@dataclass
-class Coded(Binned):
-    """The metadata view: codes of language and source one-hot, the length in bins."""
-
-    def design(self, x: np.ndarray) -> np.ndarray:
-        length = np.eye(len(self.cuts[2]) + 1)[np.searchsorted(self.cuts[2], x[:, 2], side="right")]
-        return np.hstack([np.ones((len(x), 1)), np.eye(16)[x[:, 0].astype(int)], np.eye(_SOURCES)[x[:, 1].astype(int)], length])
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _logistic(d: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
-    """Weighted logistic regression with a ridge, by Newton's method."""
+    """Weighted logistic regression with a ridge, by Newton's method; ``y`` may lie between 0 and 1."""
     beta = np.zeros(d.shape[1])
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ beta, -30, 30)))
+        p = _sigmoid(d @ beta)
         g = d.T @ (w * (p - y)) + ridge * beta
         h = (d * (w * p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(beta))
         step = np.linalg.solve(h, g)
@@ -127,8 +127,82 @@ def _logistic(d: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.n
     return beta
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def _one_hot(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return np.eye(len(cut) + 1)[np.searchsorted(cut, x, side="right")]
+
+
+def _quantiles(x: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(x, np.linspace(0, 1, 17)[1:-1]))
+
+
+@dataclass
+class View:
+    """A linear classifier of one view, with a calibration."""
+
+    cuts: list[np.ndarray] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    scale: tuple[float, float] = (1.0, 0.0)
+
+    def raw(self, x: Rows) -> np.ndarray:
+        return self.design(x) @ self.weights
+
+    def fit(self, x: Rows, y: np.ndarray, w: np.ndarray) -> View:
+        self.weights = _logistic(self.design(x), y, w, 1.0)
+        return self
+
+    def calibrate(self, x: Rows, y: np.ndarray) -> View:
+        z = self.raw(x)
+        a, b = _logistic(np.column_stack([z, np.ones(len(z))]), y, np.ones(len(y)), 1e-2)
+        self.scale = (float(a), float(b))
+        return self
+
+    def logit(self, x: Rows) -> np.ndarray:
+        return self.raw(x) * self.scale[0] + self.scale[1]
+
+
+@dataclass
+class Meta(View):
+    """Codes of language and source one-hot, the length in bins."""
+
+    def design(self, x: Rows) -> np.ndarray:
+        if not self.cuts:
+            self.cuts = [_quantiles(x.meta[:, 2])]
+        m = x.meta
+        return np.hstack([np.ones((len(x), 1)), np.eye(16)[m[:, 0].astype(int)], np.eye(_SOURCES)[m[:, 1].astype(int)], _one_hot(m[:, 2], self.cuts[0])])
+
+
+@dataclass
+class Text(View):
+    """Shape in bins, any dependence on each; and a weight for each cell, scaled by the root of a text's cells."""
+
+    content: np.ndarray = field(default_factory=lambda: np.zeros(CELLS))
+
+    def design(self, x: Rows) -> np.ndarray:
+        if not self.cuts:
+            self.cuts = [_quantiles(x.shape[:, i]) for i in range(x.shape.shape[1])]
+        return np.hstack([np.ones((len(x), 1)), *[_one_hot(x.shape[:, i], c) for i, c in enumerate(self.cuts)]])
+
+    def raw(self, x: Rows) -> np.ndarray:
+        words = np.array([self.content[c].sum() / np.sqrt(len(c)) if len(c) else 0.0 for c in x.cells])
+        return self.design(x) @ self.weights + words
+
+    def fit(self, x: Rows, y: np.ndarray, w: np.ndarray) -> Text:
+        """Full gradients with Adam's steps: the same result in every run."""
+        d = self.design(x)
+        sizes = np.array([len(c) for c in x.cells])
+        row = np.repeat(np.arange(len(x)), sizes)
+        at = np.concatenate([*x.cells, np.empty(0, np.int32)])
+        scale = 1 / np.sqrt(np.maximum(sizes, 1))
+        theta = np.zeros(d.shape[1] + CELLS)
+        first, second = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, 121):
+            z = d @ theta[: d.shape[1]] + scale * np.bincount(row, theta[d.shape[1] :][at], minlength=len(x))
+            e = w * (_sigmoid(z) - y)
+            g = np.concatenate([d.T @ e, np.bincount(at, (e * scale)[row], minlength=CELLS)]) + theta
+            first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+            theta -= 0.08 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        self.weights, self.content = theta[: d.shape[1]], theta[d.shape[1] :]
+        return self
 
 
 @dataclass
@@ -136,81 +210,133 @@ class CoTrained:
     """Both views and their combination; ``prior`` alone where nothing could be learned."""
 
     prior: float
-    text: Binned | None = None
-    meta: Coded | None = None
+    text: Text | None = None
+    meta: Meta | None = None
     mix: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    taught: list[tuple[int, int]] = field(default_factory=list)  # pseudo-labels each view got in a round: text, metadata
 
-    def scores(self, x_text: np.ndarray, x_meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.text is None or self.meta is None or not len(x_text):
-            return tuple(np.full(len(x_text), self.prior) for _ in range(3))
-        a, b = self.text.logit(x_text), self.meta.logit(x_meta)
+    def scores(self, x: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.text is None or self.meta is None or not len(x):
+            return tuple(np.full(len(x), self.prior) for _ in range(3))
+        a, b = self.text.logit(x), self.meta.logit(x)
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def cotrain(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, u_text: np.ndarray, u_meta: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """Fit on labelled rows (``y``: 0, 1) and an unlabelled pool; every fourth labelled row calibrates."""
-    if len(y) < 20 or y.min() == y.max():
-        return CoTrained(float(y.mean()) if len(y) else 1.0)
+def cotrain(x: Rows, y: np.ndarray, surest, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on labelled rows (``y``: 0, 1); every fourth calibrates.
+
+    ``surest(model, taken)`` gives, for the text and the metadata view, the rows of the unlabelled
+    documents that it is surest of in either class, with its probabilities; each row once.
+    """
+    prior = float(y.mean()) if len(y) else 1.0
     hold = np.arange(len(y)) % 4 == 3
-    if y[hold].min() == y[hold].max() or y[~hold].min() == y[~hold].max():
-        return CoTrained(float(y.mean()))
-    views = (Binned(), Coded())
-    own, held, pool = (x_text[~hold], x_meta[~hold]), (x_text[hold], x_meta[hold]), (u_text, u_meta)
-    added: list[tuple[list[int], list[int]]] = [([], []), ([], [])]  # rows of the pool and labels, for each view
+    if len(y) < 20 or any(part.min() == part.max() for part in (y[hold], y[~hold])):
+        return CoTrained(prior)
+    model = CoTrained(prior, Text(), Meta())
+    views = (model.text, model.meta)
+    own, held = x.take(~hold), x.take(hold)
+    lessons = [(own, y[~hold], np.ones(int((~hold).sum()))) for _ in views]
     for turn in range(rounds + 1):
-        for v, view in enumerate(views):
-            rows, given = added[v]
-            x = np.vstack([own[v], pool[v][rows]]) if rows else own[v]
-            view.fit(x, np.concatenate([y[~hold], given]), np.concatenate([np.ones((~hold).sum()), np.full(len(rows), 0.5)]))
-            view.calibrate(held[v], y[hold])
-        if turn == rounds or not len(pool[0]):
+        for view, lesson in zip(views, lessons, strict=True):
+            view.fit(*lesson).calibrate(held, y[hold])
+        if turn == rounds:
             break
-        for v, view in enumerate(views):
-            p = _sigmoid(view.logit(pool[v]))
-            taken = set(added[1 - v][0])
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = [i for i in np.argsort(-sure, kind="stable")[: ADDED * (rounds + 1)].tolist() if sure[i] >= SURE and i not in taken][:ADDED]
-                added[1 - v][0].extend(best)
-                added[1 - v][1].extend([label] * len(best))
-    z = np.column_stack([views[0].logit(held[0]), views[1].logit(held[1]), np.ones(hold.sum())])
-    a, b, c = _logistic(z, y[hold], np.ones(hold.sum()), 1e-2)
-    return CoTrained(float(y.mean()), views[0], views[1], (float(a), float(b), float(c)))
+        given = surest(model)
+        for v, (rows, p) in enumerate(given):  # what a view is sure of teaches the other
+            a, b, w = lessons[1 - v]
+            lessons[1 - v] = (a.plus(rows), np.concatenate([b, p]), np.concatenate([w, np.full(len(p), TRUST)]))
+        model.taught.append((len(given[1][1]), len(given[0][1])))
+    z = np.column_stack([views[0].logit(held), views[1].logit(held), np.ones(int(hold.sum()))])
+    model.mix = tuple(float(c) for c in _logistic(z, y[hold], np.ones(int(hold.sum())), 1e-2))
+    return model
 
 
 _VIEW = "text", "lang", "source", "n_chars"
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    columns = [batch.column(batch.schema.get_field_index(c)) for c in _VIEW]
-    x = np.array([text_features(t.as_py() or "") for t in columns[0]], dtype=float).reshape(-1, 13)
-    m = np.array([meta_features(*(c.as_py() for c in row)) for row in zip(*columns[1:], strict=True)], dtype=float).reshape(-1, 3)
-    return x, m
+def _features(batch: pa.RecordBatch) -> Rows:
+    columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _VIEW]
+    return rows_of(columns[0], list(zip(*columns[1:], strict=True)))
 
 
-def _sampled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(docs: DataFrame, extra: list[str]) -> tuple[Rows, list[list]]:
+    """Features of a bounded table, in the order of ``extra``, and the columns ``extra``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, m = _features(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(np.hstack([x, m])), pa.list_(pa.float64()))], names=["h", "y", "x"])
+            x = _features(batch)
+            arrays = [pa.array(list(np.hstack([x.shape, x.meta])), pa.list_(pa.float64())), pa.array([c.tolist() for c in x.cells], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in extra), *arrays], names=[*extra, "x", "cells"])
 
-    rows = docs.select("h", "y", *_VIEW).mapInArrow(run, "h long, y int, x array<double>").orderBy("h", "x").toArrow()
+    own = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    rows = docs.select(*extra, *_VIEW).mapInArrow(run, f"{own}, x array<double>, cells array<int>").orderBy(*extra, "x").toArrow()
     x = np.array(rows["x"].to_pylist(), dtype=float).reshape(-1, 16)
-    y = np.array([-1 if v is None else v for v in rows["y"].to_pylist()], dtype=float)
-    return x[:, :13], x[:, 13:], y
+    return Rows(x[:, :13], [np.array(c, dtype=np.int32) for c in rows["cells"].to_pylist()], x[:, 13:]), [rows[c].to_pylist() for c in extra]
+
 
+def _surest(docs: DataFrame, model: CoTrained, known: np.ndarray, taken: set, added: int) -> list[tuple[Rows, np.ndarray]]:
+    """For both views, the unlabelled documents that they are surest of: a pass over all documents.
+
+    A task keeps ``added`` of each view and class; of these, the surest ``added`` of all are
+    taken (ties by a digest), each once in a run.
+    """
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit on a bounded sample. Rows of ``labels`` without an id or label don't count; several for an id vote (a tie is 1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
+        for batch in batches:
+            ids = np.array([-(1 << 63) if d is None else d for d in batch.column(0).to_pylist()], dtype=np.int64)
+            digests = batch.column(1).to_pylist()
+            a, b, _ = model.scores(_features(batch))
+            free = ~np.isin(ids, known) & (ids != -(1 << 63))
+            for v, p in enumerate((a, b)):
+                for c in (0, 1):
+                    heap, sure = best[v, c], (p if c else 1 - p)
+                    at = np.flatnonzero(free & (sure >= heap[0][0])) if len(heap) == added else np.flatnonzero(free)
+                    for i in at.tolist():
+                        if (int(ids[i]), digests[i]) in taken:
+                            continue
+                        item = (float(sure[i]), digests[i], int(ids[i]))
+                        heapq.heappush(heap, item) if len(heap) < added else heapq.heappushpop(heap, item)
+        rows = [(v, c, s, h, d) for (v, c), heap in best.items() for s, h, d in heap]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["view", "class", "sure", "h", "id"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", *_VIEW).alias("h"), *_VIEW)
+    found = materialise(keyed.mapInArrow(run, "view int, class int, sure double, h long, id long"), "surest")
+    out = []
+    for v in (0, 1):
+        rows = None
+        for c in (0, 1):
+            top = found.where((F.col("view") == v) & (F.col("class") == c)).distinct().orderBy(F.desc("sure"), "h", "id").limit(added)
+            rows = top if rows is None else rows.unionByName(top)
+        # A document that is among the surest of both classes (few documents) counts where it is surer.
+        chosen = rows.groupBy("id", "h").agg(F.max_by("class", "sure").alias("class"), F.max("sure").alias("sure")).collect()  # at most 2 x added
+        if not chosen:
+            out.append((Rows(np.empty((0, 13)), [], np.empty((0, 3))), np.empty(0)))
+            continue
+        wanted = docs.sparkSession.createDataFrame([(r.id, r.h, r.sure if r["class"] else 1 - r.sure) for r in chosen], "id long, h long, p double")
+        hit = keyed.join(F.broadcast(wanted), ["id", "h"]).dropDuplicates(["id", "h"])  # repeats are equal in all that is read
+        x, (ids, hs, p) = _gathered(hit, ["id", "h", "p"])
+        taken.update(zip(ids, hs, strict=True))
+        out.append((x, np.array(p, dtype=float)))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS, added: int = ADDED) -> CoTrained:
+    """Fit on a bounded sample of labelled rows and on pseudo-labels from all others.
+
+    Rows of ``labels`` without an id or label don't count; several for an id vote (a tie is 1).
+    Of several documents with a labelled id, the one of the smallest digest is fitted on.
+    """
     digest = F.xxhash64("doc_id", F.lit(11))
     votes = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
-    chosen = votes.withColumn("h", digest).orderBy("h").limit(labelled)  # a bounded number of ids
-    known = docs.select("doc_id", *_VIEW).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    x, m, y = _sampled(known)
-    # The pool: ids of the smallest digests, whether labelled or not; their labels aren't looked at.
-    others = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id", F.lit(12)).alias("h")).orderBy("h").limit(pool).dropDuplicates(["doc_id"])
-    free = docs.select("doc_id", *_VIEW).join(F.broadcast(others), "doc_id").dropDuplicates(["doc_id"]).withColumn("y", F.lit(None).cast("int"))
-    ux, um, _ = _sampled(free)
-    return cotrain(x, m, y, ux, um)
+    chosen = materialise(votes.withColumn("o", digest).orderBy("o", "doc_id").limit(labelled), "chosen")  # a bounded number of ids
+    known = docs.select("doc_id", F.xxhash64("doc_id", *_VIEW).alias("h"), F.struct(*_VIEW).alias("r")).join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("o", "doc_id", "y").agg(F.min_by("r", "h").alias("r")).select("o", "doc_id", "y", "r.*")
+    x, (_, ids, y) = _gathered(known, ["o", "doc_id", "y"])
+    ids, taken = np.array(ids, dtype=np.int64), set()
+    return cotrain(x, np.array(y, dtype=float), lambda model: _surest(docs, model, ids, taken, added), rounds)
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,8 +353,7 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, m = _features(batch)
-            a, b, s = model.scores(x, m)
+            a, b, s = model.scores(_features(batch))
             keep = s >= threshold if fitted else np.ones(len(s), bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b), pa.array(s), pa.array(keep)], names=[*batch.schema.names, *new])
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lexispan.llm.bpe import encode_documents
 from lexispan.llm.common import DOC_COLUMNS, materialise, table
-from lexispan.llm.line_dedup import SHARES, dedup_lines
-from lexispan.llm.mixing import mix
+from lexispan.llm.line_dedup import dedup_lines
+from lexispan.llm.mixing import by_length, mix
 from lexispan.llm.quality import classify
 from lexispan.llm.simhash import drop_near_duplicates
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; every document stays."""
-    return dedup_lines(docs.select(*DOC_COLUMNS), depth=3, shares=SHARES).select(*DOC_COLUMNS)
+    return dedup_lines(docs.select(*DOC_COLUMNS)).select(*DOC_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without words has no share in any target and goes.
     """
-    taken = mix(docs.select(*DOC_COLUMNS)).where("taken > 0")
+    taken = mix(docs.select(*DOC_COLUMNS), preference=by_length).where("taken > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*DOC_COLUMNS)
 
 

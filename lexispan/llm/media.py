@@ -3,8 +3,8 @@
 An Aho-Corasick automaton finds every magic number in one pass over the bytes; a validator of
 the format then confirms structure and length, so that a number that stands there by chance
 is no medium. What is confirmed corrects a declared type, and media inside other bytes are
-carved out. Payloads are stored as samples of 8-bit mono WAVE files and read back through the
-same sniffing.
+carved out. Payloads are stored as 8-bit samples of WAVE, PNG or bitmap files and read back
+through the same sniffing.
 """
 
 from __future__ import annotations
@@ -126,11 +126,26 @@ def _bmp(raw: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", at + size) if ok and 14 + header <= offset <= size and at + size <= len(raw) else None
 
 
-def _pdf(raw: bytes, at: int) -> tuple[str, int] | None:
+class Finder:
+    """Searches of one run of bytes from places that only grow: each byte is looked at once a needle."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw = raw
+        self.known: dict[bytes, int] = {}
+
+    def find(self, needle: bytes, at: int) -> int:
+        found = self.known.get(needle, 0)
+        if 0 <= found < at or needle not in self.known:
+            found = self.known[needle] = self.raw.find(needle, at)
+        return found
+
+
+def _pdf(raw: bytes, at: int, finder: Finder) -> tuple[str, int] | None:
     if not raw[at + 5 : at + 6].isdigit():
         return None
-    end = raw.find(b"%%EOF", at)
-    return ("application/pdf", end + 5) if end >= 0 and raw.find(b"startxref", at, end) >= 0 else None
+    end = finder.find(b"%%EOF", at)
+    start = finder.find(b"startxref", at)
+    return ("application/pdf", end + 5) if 0 <= start < end else None
 
 
 def _gzip(raw: bytes, at: int) -> tuple[str, int] | None:
@@ -148,19 +163,72 @@ def _gzip(raw: bytes, at: int) -> tuple[str, int] | None:
         return None
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for byte in range(256):
+        c = byte << (bits - 8)
+        for _ in range(8):
+            c = ((c << 1) ^ polynomial) & mask if c & top else c << 1
+        out.append(c)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+_BLOCKS = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
+
+
+def _flac_header(raw: bytes, at: int) -> tuple[int, int] | None:
+    """Where a frame's header ends and how many samples its block has."""
+    if raw[at : at + 1] != b"\xff" or at + 6 > len(raw) or raw[at + 1] & 0xFE != 0xF8:
+        return None
+    size, rate, lead = raw[at + 2] >> 4, raw[at + 2] & 15, raw[at + 4]
+    if size == 0 or rate == 15 or raw[at + 3] & 1:
+        return None
+    ones = next((i for i in range(8) if not lead << i & 0x80), 8)
+    pos = at + 4 + max(1, ones)
+    if ones in (1, 8) or any(b >> 6 != 2 for b in raw[at + 5 : pos]):
+        return None
+    wide = {6: 1, 7: 2}.get(size, 0)
+    block = _BLOCKS.get(size) or int.from_bytes(raw[pos : pos + wide], "big") + 1
+    pos += wide + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for b in raw[at:pos]:
+        crc = _CRC8[crc ^ b]
+    return (pos + 1, block) if pos < len(raw) and raw[pos] == crc else None
+
+
 def _flac(raw: bytes, at: int) -> tuple[str, int] | None:
-    pos = at + 4
-    while pos + 4 <= len(raw):
+    """Metadata blocks, then frames whose checksums hold, up to the number of samples that the first block names."""
+    pos, total = at + 4, 0
+    while True:
+        if pos + 4 > len(raw):
+            return None
         last, kind, length = raw[pos] >> 7, raw[pos] & 127, int.from_bytes(raw[pos + 1 : pos + 4], "big")
         if kind == 127 or pos == at + 4 and (kind, length) != (0, 34):
             return None
+        if pos == at + 4:
+            total = int.from_bytes(raw[pos + 17 : pos + 22], "big") & ((1 << 36) - 1)
         pos += 4 + length
         if last:
-            return ("audio/flac", len(raw)) if pos <= len(raw) else None
-    return None
+            break
+    done, end = 0, None
+    while (total == 0 or done < total) and (head := _flac_header(raw, pos)):
+        crc = 0
+        for b in raw[pos : head[0]]:
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b]
+        done += head[1]
+        for i in range(head[0], len(raw)):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ raw[i]]
+            # The checksum that closes a frame leaves no remainder; another frame or the end follows.
+            if crc == 0 and i > head[0] + 1 and (total and done >= total or _flac_header(raw, i + 1) or not total and i + 1 == len(raw)):
+                pos = end = i + 1
+                break
+        else:
+            return None
+    return ("audio/flac", end) if end and (not total or done >= total) else None
 
 
-SIGNATURES: dict[bytes, Callable[[bytes, int], tuple[str, int] | None]] = {
+SIGNATURES: dict[bytes, Callable[..., tuple[str, int] | None]] = {
     b"RIFF": _riff, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif, b"\xff\xd8\xff": _jpeg,
     b"BM": _bmp, b"%PDF-": _pdf, b"\x1f\x8b\x08": _gzip, b"fLaC": _flac,
 }
@@ -179,10 +247,13 @@ def _automaton():
 
 def sniff(raw: bytes) -> list[Medium]:
     """The media in ``raw``, from the left; what lies inside a confirmed medium belongs to it."""
-    out, free = [], 0
+    out, free, finder = [], 0, Finder(raw)
     for last, magic in _automaton().iter(raw.decode("latin-1")):
         at = last + 1 - len(magic)
-        if at >= free and (got := SIGNATURES[magic](raw, at)):
+        if at < free:
+            continue
+        check = SIGNATURES[magic]
+        if got := check(raw, at, finder) if check is _pdf else check(raw, at):
             out.append(Medium(got[0], at, got[1]))
             free = got[1]
     return out
@@ -218,6 +289,65 @@ def from_wave(raw: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+def to_bmp(samples: bytes) -> bytes:
+    """An 8-bit grey bitmap, 64 samples a row, the first row on top."""
+    palette = b"".join(bytes((i, i, i, 0)) for i in range(256))
+    head = struct.pack("<IiiHHIIiiII", 40, UNIT, -(len(samples) // UNIT), 1, 8, 0, len(samples), 0, 0, 256, 0)
+    return b"BM" + struct.pack("<IHHI", 54 + len(palette) + len(samples), 0, 0, 54 + len(palette)) + head + palette + samples
+
+
+def from_bmp(raw: bytes) -> bytes:
+    offset, (width, height), depth = struct.unpack_from("<I", raw, 10)[0], struct.unpack_from("<ii", raw, 18), struct.unpack_from("<H", raw, 28)[0]
+    if (width, depth) != (UNIT, 8) or height >= 0:
+        raise ValueError("not an 8-bit bitmap of 64 samples a row, top down")
+    return raw[offset : offset - width * height]
+
+
+def to_png(samples: bytes) -> bytes:
+    """An 8-bit grey PNG, 64 samples a row."""
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    rows = np.zeros((len(samples) // UNIT, UNIT + 1), np.uint8)
+    rows[:, 1:] = np.frombuffer(samples, np.uint8).reshape(-1, UNIT)
+    head = struct.pack(">IIBBBBB", UNIT, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def from_png(raw: bytes) -> bytes:
+    """The samples of an 8-bit grey PNG without filters."""
+    pos, data, width = 8, [], 0
+    while pos + 12 <= len(raw):
+        length, name = struct.unpack_from(">I", raw, pos)[0], raw[pos + 4 : pos + 8]
+        body = raw[pos + 8 : pos + 8 + length]
+        if name == b"IHDR":
+            width, _, depth, colour, *_ = struct.unpack(">IIBBBBB", body)
+            if (depth, colour) != (8, 0):
+                raise ValueError("not an 8-bit grey PNG")
+        elif name == b"IDAT":
+            data.append(body)
+        pos += 12 + length
+    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(-1, width + 1)
+    if rows[:, 0].any():
+        raise ValueError("filtered rows")
+    return rows[:, 1:].tobytes()
+
+
+#: Stored forms: how samples become a file of a type, and back.
+FORMS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {"audio/wav": (to_wave, from_wave), "image/png": (to_png, from_png), "image/bmp": (to_bmp, from_bmp)}
+_KINDS = tuple(FORMS)
+_BEFORE, _AFTER = b"--part\r\n\r\n", b"\r\n--part--\r\n"
+
+
+def stored(payload: bytes) -> tuple[bytes, str]:
+    """The bytes of a media column for a padded payload, and the type they are declared as.
+
+    A digest of the payload chooses the form, whether it lies inside an envelope of other bytes,
+    and the declared type, which as with uploads is often wrong: equal payloads are stored alike.
+    """
+    pick = zlib.crc32(payload)
+    media = FORMS[_KINDS[pick % 3]][0](payload)
+    return _BEFORE + media + _AFTER if pick >> 8 & 1 else media, (*_KINDS, "application/octet-stream")[pick >> 16 & 3]
+
+
 def feature(samples: bytes) -> str:
     """Mean, deviation and peak of the samples about 128, and zero crossings, as text."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
@@ -230,8 +360,8 @@ def feature(samples: bytes) -> str:
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` and with ``n_bytes, media`` and the declared type ``declared``.
 
-    The media column holds a WAVE file of the padded text; a null text counts as empty and
-    gives one unit of zeros. Declared types are as uploads have them: not to be trusted.
+    The media column holds a WAVE, PNG or bitmap file of the padded text, in some rows inside an
+    envelope (see :func:`stored`); a null text counts as empty and gives one unit of zeros.
     """
     kept = [f for f in docs.schema if f.name not in (text, "n_bytes", "media", "declared")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_bytes long, media binary, declared string"])
@@ -244,7 +374,8 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
                 part = batch.slice(lo, 256)
                 raw = [(t.as_py() or "").encode() for t in part.column(at)]
                 arrays = [part.column(part.schema.get_field_index(n)) for n in names]
-                arrays += [pa.array(list(map(len, raw)), pa.int64()), pa.array([to_wave(padded(r)) for r in raw], pa.binary()), pa.array(["application/octet-stream"] * len(raw))]
+                kept_as = [stored(padded(r)) for r in raw]
+                arrays += [pa.array(list(map(len, raw)), pa.int64()), pa.array([m for m, _ in kept_as], pa.binary()), pa.array([d for _, d in kept_as])]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_bytes", "media", "declared"])
 
     return docs.mapInArrow(run, schema)
@@ -253,23 +384,26 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """Sniff, confirm and read the ``media`` column back: types, digests and features in place of the bytes.
 
-    Rows whose bytes hold no confirmed WAVE file (null too) have null payload columns. Embedded
-    media are counted in ``n_media``; the first gives the payload.
+    ``media_type`` is the confirmed type, ``declared_ok`` whether it was declared so, ``carved``
+    whether the medium lay inside other bytes. Rows whose bytes hold no confirmed medium of a
+    stored form (null too) have null payload columns and keep the declared type. Media are
+    counted in ``n_media``; the first gives the payload.
     """
-    new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "media_type": "string", "n_media": "long"}
+    new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "media_type": "string", "declared_ok": "boolean", "carved": "boolean", "n_media": "long"}
     kept = [f for f in media.schema if f.name not in ("media", *new)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{k} {v}" for k, v in new.items())])
     names = [f.name for f in kept]
 
     def digest(raw: bytes | None, declared: str | None) -> tuple:
         found = sniff(raw) if raw else []
-        kind = found[0].kind if found and found[0].start == 0 else declared
-        waves = [m for m in found if m.kind == "audio/wav"]
-        if not waves:
-            return (None, None, None, None if raw is None else len(raw), None if raw is None else hashlib.sha256(raw).hexdigest(), None, kind, len(found))
-        own = raw[waves[0].start : waves[0].end]
-        samples = from_wave(own)
-        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(own), hashlib.sha256(own).hexdigest(), feature(samples), kind, len(found))
+        known = [m for m in found if m.kind in FORMS]
+        if not known:
+            whole = (None, None) if raw is None else (len(raw), hashlib.sha256(raw).hexdigest())
+            return (None, None, None, *whole, None, found[0].kind if found and found[0].start == 0 else declared, None, None, len(found))
+        m = known[0]
+        own = raw[m.start : m.end]
+        samples = FORMS[m.kind][1](own)
+        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(own), hashlib.sha256(own).hexdigest(), feature(samples), m.kind, m.kind == declared, len(own) < len(raw), len(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +411,7 @@ def read_media(media: DataFrame) -> DataFrame:
             rows = [digest(m.as_py(), d.as_py()) for m, d in zip(batch.column(batch.schema.get_field_index("media")), declared, strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(new)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            arrays += [pa.array(c, pa.int64() if kind == "long" else pa.string()) for c, kind in zip(columns, new.values(), strict=True)]
+            arrays += [pa.array(c, {"long": pa.int64(), "boolean": pa.bool_()}.get(kind, pa.string())) for c, kind in zip(columns, new.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *new])
 
     return media.mapInArrow(run, schema)

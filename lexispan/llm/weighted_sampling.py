@@ -5,6 +5,11 @@ digests of (k, S) alone, r and c from Gamma(2, 1) and b uniform; with t = floor(
 its value is c * exp(-r * (t - b + 1)), and the term of the smallest value is the sample,
 named by (S, t). Two texts agree in a sample with the probability of their generalised
 Jaccard similarity, sum of min over sum of max of the weights.
+
+A uniform part of a Gamma(2, 1) variable and the rest are two independent exponentials. So
+all three are drawn from three exponentials x, y, z: c = x + y, r = s + z with
+s = ln((x + y) / x), and b = z / r, which is uniform and independent of r. Then
+t = floor((ln w + z) / r) and the value is x * exp(-r * t): for weight 1, x itself.
 """
 
 from __future__ import annotations
@@ -19,18 +24,11 @@ from .common import WORD, materialise, table
 SAMPLES = 64
 #: Draws above ``ENOUGH`` over the text's weight are left out unseen: a sample's least value lies above with chance exp(-ENOUGH).
 ENOUGH = 22.0
-_UNIT = 2.0**-32
 _AT_ONCE = 2
 #: A text without words has this in place of every sample.
 NONE = "0" * 8
 
 
-def _uniform(h: str, high: bool) -> str:
-    """A uniform in (0, 1] from half of the 64-bit digest ``h``."""
-    half = f"shiftrightunsigned({h}, 32)" if high else f"({h} & 4294967295L)"
-    return f"({_UNIT!r}D * ({half} + 1L))"
-
-
 def words_of(text: Column) -> Column:
     """The words of a text, without a regex."""
     for gap in "\t\n\x0b\x0c\r":
@@ -44,12 +42,11 @@ def pair_fingerprints(texts: DataFrame, keys: list[str], first: str = "text", se
     Texts that share words share their draws, so an edited text costs little more than its
     original. Rows that agree in ``keys`` count as one; if ``texts`` is dealt out by them, nothing
     is shuffled. A draw is worked out only if a lower bound that needs no logarithm is at most
-    ``enough`` over the text's words (None: always): with c the gamma of the value, q = exp(-r)
-    and -ln x = -4 ln x^(1/4) >= 8 (1 - x^(1/4)) / (1 + x^(1/4)), a value is at least c q / w,
-    and for weight 1, c q^(1-b) >= c / (b + (1-b) q^(-1/4))^4. A sample whose draws were all
-    left out makes its fingerprint null, and the caller draws that text in full. Samples are
-    drawn ``_AT_ONCE`` at a time, so that the code that Spark makes stays small enough to be
-    compiled. A text without words has a null fingerprint and a count of 0.
+    ``enough`` over the text's words (None: always): as x = -ln(1 - e) >= e and
+    r t <= ln w + z, a value is at least e * exp(-z) / w, and for weight 1 at least e. A sample
+    whose draws were all left out makes its fingerprint null, and the caller draws that text in
+    full. Samples are drawn ``_AT_ONCE`` at a time, so that the code that Spark makes stays
+    small enough to be compiled. A text without words has a null fingerprint and a count of 0.
     """
     each = range(_AT_ONCE)
     some = F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate((first, second))])
@@ -57,29 +54,32 @@ def pair_fingerprints(texts: DataFrame, keys: list[str], first: str = "text", se
     words = both.select(*keys, "which", F.size("words").alias("n"), F.explode("words").alias("word"))
     own = lambda c, i: F.when(F.col("which") == i, c)
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(*[F.count(own(F.lit(1), i)).alias(f"w{i}") for i in (0, 1)], *[F.coalesce(F.max(own(F.col("n"), i)), F.lit(0)).alias(f"m{i}") for i in (0, 1)])
-    terms = terms.select(*keys, "term", "w0", "w1", F.ln(F.col("w0").cast("double")).alias("l0"), F.ln(F.col("w1").cast("double")).alias("l1"), "m0", "m1", *[F.ln(F.lit(float(enough or 1)) / F.greatest(f"m{i}", F.lit(1))).alias(f"e{i}") for i in (0, 1)])
-    top = F.expr(f"greatest(w0, w1) * {float(enough)!r}D / least(if(w0 = 0, m1, m0), if(w1 = 0, m0, m1))") if enough else F.lit(float("inf"))
-    drawn = terms.select(*keys, "term", "w0", "w1", "l0", "l1", "m0", "m1", "e0", "e1", top.alias("top"), F.explode(F.array(*map(F.lit, range(-(-samples // _AT_ONCE))))).alias("g"))
-    keep = [*keys, "g", "w0", "w1", "l0", "l1", "m0", "m1", "e0", "e1"]
-    drawn = drawn.select(*keep, "top", F.xxhash64("term", "g").alias("term"))
-    drawn = drawn.select(*keep, "top", "term", *[F.xxhash64("term", F.lit(3 * j + i)).alias(f"h{j}_{i}") for j in each for i in range(3)])
-    drawn = drawn.select(
-        *keep, "top", "term",
-        *[F.expr(f"{_uniform(f'h{j}_0', True)} * {_uniform(f'h{j}_0', False)}").alias(f"q{j}") for j in each],
-        *[F.expr(f"{_uniform(f'h{j}_1', True)} * {_uniform(f'h{j}_1', False)}").alias(f"x{j}") for j in each],
-        *[F.expr(_uniform(f"h{j}_2", True)).alias(f"b{j}") for j in each],
-    )
-    root = lambda c: f"sqrt(sqrt({c}))"
-    drawn = drawn.select(*keep, "top", "term", *[f"{c}{j}" for j in each for c in "qxb"], *[F.expr(root(f"{c}{j}")).alias(f"{c}r{j}") for j in each for c in "qx"])
-    least = lambda j: f"8D * (1D - xr{j}) / (1D + xr{j})"
-    one = lambda j: f"(b{j} + (1D - b{j}) / qr{j})"
-    drawn = drawn.select(*keep, "top", "term", *[f"{c}{j}" for j in each for c in "qxb"], *[F.expr(f"{least(j)} * if(w0 <= 1 AND w1 <= 1, 1D / ({one(j)} * {one(j)} * {one(j)} * {one(j)}), q{j}) <= top").alias(f"near{j}") for j in each], F.spark_partition_id().alias("part"))
+    logs = [F.ln(F.col(f"w{i}").cast("double")).alias(f"l{i}") for i in (0, 1)]
+    limits = [(F.lit(float(enough)) / F.greatest(f"m{i}", F.lit(1)) if enough else F.lit(float("inf"))).alias(f"e{i}") for i in (0, 1)]
+    terms = terms.select(*keys, "term", "w0", "w1", "m0", "m1", F.greatest("w0", "w1").alias("w"), *logs, *limits)
+    limit = F.greatest(F.when(F.col("w0") > 0, F.col("e0")), F.when(F.col("w1") > 0, F.col("e1")))
+    groups = F.array(*map(F.lit, range(-(-samples // _AT_ONCE))))
+    keep = [*keys, "g", "w0", "w1", "m0", "m1", "w", "l0", "l1", "e0", "e1"]
+    drawn = terms.select(*keep[: len(keys)], "term", *keep[len(keys) + 1 :], limit.alias("limit"), F.explode(groups).alias("g"))
+    drawn = drawn.select(*keep, "limit", F.xxhash64("term", "g").alias("term"))
+    drawn = drawn.select(*keep, "limit", "term", *[F.expr(f"{2.0**-53!r}D * shiftrightunsigned(xxhash64(term, {j}), 11)").alias(f"u{j}") for j in each])
+    bound = lambda j: f"if(w <= 1, u{j}, u{j} * ({2.0**-32!r}D * (shiftrightunsigned(xxhash64(term, {j + 100}), 32) + 1L)) / w)"
+    drawn = drawn.select(*keep, "term", *[f"u{j}" for j in each], *[F.expr(f"{bound(j)} <= limit").alias(f"near{j}") for j in each], F.spark_partition_id().alias("part"))
     if enough:  # the partition's number, which isn't negative, only keeps this filter from being pushed below the sums it rests on
         drawn = drawn.where(" OR ".join(f"near{j}" for j in each) + " OR part < 0")
-    drawn = drawn.select(*keep, "term", *[f"b{j}" for j in each], *[F.expr(f"if(near{j}, -ln(q{j}), null)").alias(f"r{j}") for j in each], *[F.expr(f"if(near{j}, ln(-ln(x{j})), null)").alias(f"c{j}") for j in each])
-    drawn = drawn.select(*keep, "term", *[f"{c}{j}" for j in each for c in "brc"], *[F.expr(f"if(w{i} > 0, floor(l{i} / r{j} + b{j}), null)").alias(f"t{i}_{j}") for j in each for i in (0, 1)])
-    value = lambda i, j: F.expr(f"c{j} - r{j} * (t{i}_{j} - b{j} + 1D)")
-    drawn = drawn.select(*keys, "g", "m0", "m1", "e0", "e1", *[F.expr(f"if(t{i}_{j} IS NULL, null, xxhash64(term, t{i}_{j}))").alias(f"n{i}_{j}") for j in each for i in (0, 1)], *[value(i, j).alias(f"v{i}_{j}") for j in each for i in (0, 1)])
+    more = lambda j: f"if(near{j} AND w > 1, xxhash64(term, {j + 100}), null)"
+    drawn = drawn.select(*keep, "term", *[F.expr(f"if(near{j}, -log1p(-u{j}), null)").alias(f"x{j}") for j in each], *[F.expr(more(j)).alias(f"h{j}") for j in each])
+    drawn = drawn.select(
+        *keep, "term", *[f"x{j}" for j in each],
+        *[F.expr(f"-ln({2.0**-32!r}D * (shiftrightunsigned(h{j}, 32) + 1L))").alias(f"z{j}") for j in each],
+        *[F.expr(f"-ln({2.0**-32!r}D * ((h{j} & 4294967295L) + 1L))").alias(f"y{j}") for j in each],
+    )
+    drawn = drawn.select(*keep, "term", *[f"{c}{j}" for j in each for c in "xz"], *[F.expr(f"greatest(1e-12D, ln((x{j} + y{j}) / greatest(x{j}, 1e-300D)) + z{j})").alias(f"r{j}") for j in each])
+    step = lambda i, j: f"if(x{j} IS NULL OR w{i} = 0, null, if(w{i} = 1, 0L, floor((l{i} + z{j}) / r{j})))"
+    drawn = drawn.select(*keep, "term", *[f"{c}{j}" for j in each for c in "xr"], *[F.expr(step(i, j)).alias(f"t{i}_{j}") for j in each for i in (0, 1)])
+    value = lambda i, j: f"if(t{i}_{j} = 0, x{j}, x{j} * exp(-r{j} * t{i}_{j}))"
+    name = lambda i, j: f"if(t{i}_{j} IS NULL, null, xxhash64(term, t{i}_{j}))"
+    drawn = drawn.select(*keys, "g", "m0", "m1", "e0", "e1", *[F.expr(name(i, j)).alias(f"n{i}_{j}") for j in each for i in (0, 1)], *[F.expr(value(i, j)).alias(f"v{i}_{j}") for j in each for i in (0, 1)])
     if enough:  # what was left out is above this: only below it is the least one sure
         drawn = drawn.select(*keys, "g", "m0", "m1", *[f"n{i}_{j}" for j in each for i in (0, 1)], *[F.expr(f"if(v{i}_{j} <= e{i}, v{i}_{j}, null)").alias(f"v{i}_{j}") for j in each for i in (0, 1)])
     chosen = drawn.groupBy(*keys, "g").agg(F.max("m0").alias("n0"), F.max("m1").alias("n1"), *[F.min_by(f"n{i}_{j}", f"v{i}_{j}").alias(f"s{i}_{j}") for i in (0, 1) for j in each])

@@ -288,16 +288,16 @@ def _surest(docs: DataFrame, model: CoTrained, known: np.ndarray, taken: set, ad
             digests = batch.column(1).to_pylist()
             a, b, _ = model.scores(_features(batch))
             free = ~np.isin(ids, known) & (ids != -(1 << 63))
-            for v, p in enumerate((a, b)):
+            for v, p in enumerate(np.round((a, b), 9)):  # batches of other sizes sum in another order
                 for c in (0, 1):
                     heap, sure = best[v, c], (p if c else 1 - p)
                     at = np.flatnonzero(free & (sure >= heap[0][0])) if len(heap) == added else np.flatnonzero(free)
                     for i in at.tolist():
                         if (int(ids[i]), digests[i]) in taken:
                             continue
-                        item = (float(sure[i]), digests[i], int(ids[i]))
+                        item = (float(sure[i]), -digests[i], -int(ids[i]))
                         heapq.heappush(heap, item) if len(heap) < added else heapq.heappushpop(heap, item)
-        rows = [(v, c, s, h, d) for (v, c), heap in best.items() for s, h, d in heap]
+        rows = [(v, c, s, -h, -d) for (v, c), heap in best.items() for s, h, d in heap]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["view", "class", "sure", "h", "id"])

@@ -235,7 +235,7 @@ def test_targets_stop_at_three_times_and_reruns_agree(spark):
     r = random.Random(8)
     docs = [(i, " ".join(["w"] * r.randint(1, 40)), "tiny" if i < 5 else f"s{i % 6}" if i % 11 else None) for i in range(900)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    out = mixing.mix(df).collect()
+    out = mixing.mix(df.repartition(3)).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
     by = defaultdict(list)
     for x in out:

@@ -98,3 +98,31 @@ INJECTION = (
 
 TRUSTED = ("abbrev", "gazetteer")
 DISTINCTIVE = ("abbrev", "gazetteer", "llm")
+
+#: Modifiers without technical content, cut from the left of a phrase.
+VAGUE_MODIFIERS = """
+a an the this that these those such said its their our your his her my
+one two three four five six seven eight nine ten first second third fourth
+another other others certain various several many few some all both each
+every any no more most least less further additional respective
+present instant subject aforementioned above below following preceding
+exemplary illustrative preferred alternative optional suitable appropriate
+conventional typical usual ordinary common general generic particular
+specific corresponding associated related given known new novel recent
+current existing proposed described disclosed claimed
+different same similar various number plurality
+""".split()
+
+#: (name, pattern, group): phrases that claims name technology in.
+CLAIM_FRAMES = (
+    ("means_for", r"(?i)\bmeans[ \t\n]+for[ \t\n]+([a-z][a-z-]*ing([ \t\n]+((the|a|an)[ \t\n]+)?[a-z][a-z-]*){0,3})", 1),
+    ("configured_to", r"(?i)\b(a|an|the|said)[ \t\n]+(([a-z][a-z-]*[ \t\n]+){0,3}[a-z][a-z-]*)[ \t\n]+(configured|adapted|arranged|operable|designed)[ \t\n]+to\b", 2),
+    ("wherein", r"(?i)\bwherein[ \t\n]+(the|said|a|an)[ \t\n]+(([a-z][a-z-]*[ \t\n]+){0,3}[a-z][a-z-]*)[ \t\n]+(comprises|includes|consists|is|are)\b", 2),
+    ("applying", r"(?i)\b(applying|performing|using|employing|providing|forming|depositing|generating)[ \t\n]+((a|an|the|said)[ \t\n]+)?(([a-z][a-z-]*[ \t\n]+){0,3}[a-z][a-z-]*)\b", 4),
+)
+
+#: Characters that a word of an abbreviation's window counts for, and the most words of a long form.
+WINDOW_WORD = 9
+LONG_FORM_WORDS = 10
+
+TECHNOLOGY_TYPES = ("artifact", "method", "material", "tool")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import GRANULARITY, TYPE_WEIGHTS, TYPES
-from ..functions.text import decay, lemma_key, orthographic, squash, winner_probability
-from .tokens import TOKEN, pieces
+from ..functions.fixed import GRANULARITY, PROTO_SELF, PROTO_TECH, TECHNOLOGY_TYPES, TYPE_WEIGHTS, TYPES
+from ..functions.text import decay, dot, lemma_key, orthographic, squash, winner_probability
 
 #: Features that are the same for every type.
 PLAIN = ("orthographic", "umbrella", "kb_hit", "kb_depth_shallow", "kb_depth_deep", "n_tokens", "has_digit", "has_upper", "all_lower", "hyphenated", "abbrev_pair", "ncvalue", "head_is_tech", "suffix_ing", "suffix_ion")
@@ -50,6 +49,58 @@ def type_features(mentions: DataFrame, heads: DataFrame, umbrella: DataFrame | N
     return f.join(listed, "lemma", "left").withColumn("umbrella", F.coalesce("umbrella", F.lit(0.0)))
 
 
+def prototype_features(mentions: DataFrame, vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """``mentions`` with ``proto_margin`` and ``proto_<type>``, the back-off where lexicons say little.
+
+    ``vectors`` has ``surface, vector``, ``prototypes`` a vector for each type. The margin is tanh of
+    6 times the best cosine to a technology's prototype less the best to another; a type's own
+    feature is 6 times its cosine less the mean over types. Without a vector all are 0.
+    """
+    rows = {r["type"]: [float(v) for v in r["vector"]] for r in prototypes.collect()}  # one for each type
+    norm = lambda c: F.sqrt(dot(c, c))
+    own = vectors.groupBy(F.lower("surface").alias("__low")).agg(F.first("vector").alias("__v"))
+    out = mentions.withColumn("__low", F.lower("surface")).join(own, "__low", "left")
+    cosines = {}
+    for kind, vector in rows.items():
+        length = sum(v * v for v in vector) ** 0.5 or 1.0
+        against = F.array(*[F.lit(v / length) for v in vector])
+        cosines[kind] = F.coalesce(dot(F.col("__v"), against) / F.nullif(norm(F.col("__v")), F.lit(0.0)), F.lit(0.0))
+    out = out.withColumns({f"__c_{k}": c for k, c in cosines.items()})
+    tech = [F.col(f"__c_{k}") for k in rows if k in TECHNOLOGY_TYPES] or [F.lit(0.0)]
+    rest = [F.col(f"__c_{k}") for k in rows if k not in TECHNOLOGY_TYPES] or [F.lit(0.0)]
+    best = lambda cs: F.array_max(F.array(*cs))
+    mean = sum((F.col(f"__c_{k}") for k in rows), F.lit(0.0)) / max(1, len(rows))
+    new = {"proto_margin": F.tanh(6.0 * (best(tech) - best(rest)))} | {f"proto_{k}": F.when(F.col("__v").isNotNull(), 6.0 * (F.col(f"__c_{k}") - mean)).otherwise(0.0) for k in rows}
+    return out.withColumns(new).drop("__low", "__v", *[f"__c_{k}" for k in rows])
+
+
+def refit_types(labelled: DataFrame, columns: list[str], label: str = "type", least: int = 8):
+    """A multinomial logistic regression of types on features, fitted on the cluster; None with fewer than two types of ``least`` rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    counts = labelled.groupBy(label).count().where(F.col("count") >= least).select(label)
+    kept = labelled.join(counts, label, "left_semi")
+    if counts.count() < 2:
+        return None
+    indexed = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(kept)
+    rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(indexed.transform(kept))
+    return indexed.labels, LogisticRegression(featuresCol="__x", labelCol="__y", family="multinomial", regParam=0.01).fit(rows)
+
+
+def refit_confidence(labelled: DataFrame, columns: list[str], label: str = "label", least: int = 40) -> dict[str, float] | None:
+    """New weights of confidence features, with ``bias``, from decided mentions; None with fewer than ``least`` or one outcome."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    n = labelled.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k")).first()
+    if n["n"] < least or n["k"] < 2:
+        return None
+    rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(labelled.withColumn("__y", F.col(label).cast("double")))
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.01).fit(rows)
+    return {"bias": float(model.intercept)} | {c: float(w) for c, w in zip(columns, model.coefficients, strict=True)}
+
+
 def predict_type(features: DataFrame, llm_type: str | None = None) -> DataFrame:
     """``features`` with ``type, margin, prob, granularity``: the greatest linear score, the first in order among equals."""
     single = ~F.col("lemma").contains(" ")
@@ -62,8 +113,12 @@ def predict_type(features: DataFrame, llm_type: str | None = None) -> DataFrame:
             if c in w:
                 total = total + w[c] * F.col(c)
         total = total + w.get("head_type_match", 0.0) * own + w.get("exact_head_match", 0.0) * own * single.cast("int")
+        if "proto_margin" in features.columns:
+            total = total + PROTO_TECH.get(t, 0.0) * F.col("proto_margin")
+        if f"proto_{t}" in features.columns:
+            total = total + PROTO_SELF.get(t, 0.0) * F.col(f"proto_{t}")
         if llm_type is not None:
-            total = total + w.get("llm_agrees", 0.0) * (F.col(llm_type) == t).cast("int")
+            total = total + w.get("llm_agrees", 0.0) * F.coalesce((F.col(llm_type) == t).cast("int"), F.lit(0))
         scores.append(total)
     f = features.withColumn("scores", F.array(*scores))
     names = F.array(*map(F.lit, TYPES))
@@ -73,35 +128,63 @@ def predict_type(features: DataFrame, llm_type: str | None = None) -> DataFrame:
     return f.withColumns({"type": kind, "margin": F.array_max("scores") - F.element_at(F.sort_array("scores", asc=False), 2), "prob": winner_probability(F.col("scores")), "granularity": F.element_at(depth, kind)}).drop("scores")
 
 
-def predict_role(mentions: DataFrame, cues: DataFrame, prior: dict[str, float], window: int = 140, claimed: Column | None = None) -> DataFrame:
-    """``mentions`` (doc_id, start, end, surface, text) with ``role, margin``.
+#: Entries that a table of cues may have: it is read into the plan.
+MOST_CUES = 4_000
+
+
+def cue_distance(context: Column, phrase: Column, a: Column, b: Column) -> Column:
+    """Characters between a mention (``a`` to ``b`` in its context) and the nearest occurrence of a phrase; 0 where they overlap."""
+    n = F.length(phrase)
+    lo = F.greatest(a - n + 1, F.lit(0))
+    left, right = F.instr(F.reverse(F.left(context, a)), F.reverse(phrase)), F.call_function("instr", F.substring(context, b + 1, F.length(context)), phrase)
+    none = F.lit(1_000_000)
+    return F.when(F.contains(F.substring(context, lo + 1, b + n - 1 - lo), phrase), 0).otherwise(F.least(F.when(left > 0, left - 1).otherwise(none), F.when(right > 0, right - 1).otherwise(none)))
+
+
+def predict_role(mentions: DataFrame, cues: DataFrame, prior: dict[str | None, dict[str, float]], window: int = 140, section: Column | None = None) -> DataFrame:
+    """``mentions`` (doc_id, start, end, surface, text) with ``role, margin, prob, fired``.
 
-    Single-word cues are found by joining the window's tokens with the cue table; the nearest
-    occurrence counts, weaker with distance. A cue inside the mention is no evidence. Nothing
-    fired and a margin under 0.35 is ``unknown``; ``claimed`` marks mentions that a claim defines.
+    ``cues`` (phrase, role, weight: a lexicon of at most ``MOST_CUES`` entries) are phrases of any
+    number of words, looked for in the characters within ``window`` of a mention and in its
+    evidence (``ev_start, ev_end``, where present); each counts once, by its nearest occurrence,
+    weaker with distance, and not if it stands inside the mention. ``prior`` gives each role's
+    score by section; that of None is for all others, and its roles, in order, are the roles
+    there are. Nothing fired and a margin under 0.35 is ``unknown``; in an independent claim a
+    mention is ``claimed``. Everything is worked out in a mention's own row: nothing is shuffled.
     """
-    low = F.lower("text")
-    lo = F.greatest(F.lit(0), F.col("start") - window)
-    spans = mentions.select("doc_id", "start", "end", F.lower("surface").alias("mention"), F.substring(low, lo + 1, F.col("end") + window - lo).alias("ctx"), (F.col("start") - lo).alias("a"), (F.col("end") - lo).alias("b"))
-    keyed = spans.withColumn("span", F.struct("doc_id", "start", "end")).distinct()
-    toks = pieces(keyed.select(F.col("span").alias("doc_id"), "ctx"), TOKEN, "ctx").select(F.col("doc_id").alias("span"), "tok", F.col("start").alias("s"), F.col("end").alias("e"))
-    fired = toks.join(cues.select(F.col("phrase").alias("tok"), "role", "weight"), "tok").join(keyed.select("span", "mention", "a", "b"), "span").where(~F.col("mention").contains(F.col("tok")))
-    near = fired.groupBy("span", "role", "tok").agg(F.first("weight").alias("weight"), F.min(F.greatest(F.lit(0), F.col("a") - F.col("e"), F.col("s") - F.col("b"))).alias("dist"))
-    summed = near.groupBy("span").pivot("role", list(prior)).agg(F.sum(F.col("weight") * decay(F.col("dist"), window)))
-    out = keyed.select("span").join(summed, "span", "left")
-    any_fired = F.coalesce(*[F.col(r) for r in prior]).isNotNull()
-    # Rounded, so that equal evidence ties whatever the order of its sum; the first role wins a tie.
-    scores = F.array(*[F.round(F.coalesce(F.col(r), F.lit(0.0)) + F.lit(float(p)), 9) for r, p in prior.items()])
-    out = out.withColumn("scores", scores).withColumn("fired", any_fired)
-    margin = F.array_max("scores") - F.element_at(F.sort_array("scores", asc=False), 2)
-    best = F.element_at(F.array(*map(F.lit, prior)), F.array_position("scores", F.array_max("scores")).cast("int"))
-    role = F.when(~F.col("fired") & (margin < 0.35), "unknown").otherwise(best)
-    out = out.select("span.*", role.alias("role"), margin.alias("margin"))
-    if claimed is None:
+    roles = list(prior[None])
+    entries = cues.select("phrase", "role", F.col("weight").cast("double")).where("phrase <> ''").distinct().orderBy("phrase", "role", "weight").limit(MOST_CUES + 1).collect()
+    if len(entries) > MOST_CUES:
+        raise ValueError(f"more than {MOST_CUES} cues")
+    lo, hi = F.greatest(F.lit(0), F.col("start") - window), F.least(F.length("text"), F.col("end") + window)
+    if {"ev_start", "ev_end"} <= set(mentions.columns):
+        lo, hi = F.least(lo, F.coalesce("ev_start", lo)), F.greatest(hi, F.coalesce("ev_end", hi))
+    own = mentions.withColumns({"__lo": lo, "__ctx": F.lower(F.substring("text", lo + 1, hi - lo)), "__low": F.lower("surface")})
+    a, b = F.col("start") - F.col("__lo"), F.col("end") - F.col("__lo")
+    lexicon = F.array(*[F.struct(F.lit(e[0]).alias("phrase"), F.lit(e[1]).alias("role"), F.lit(e[2]).alias("weight")) for e in entries]) if entries else F.array().cast("array<struct<phrase:string,role:string,weight:double>>")
+    fired = F.filter(lexicon, lambda c: F.contains(F.col("__ctx"), c["phrase"]) & ~F.contains(F.col("__low"), c["phrase"]))
+    scored = F.transform(fired, lambda c: F.struct(c["role"].alias("role"), (c["weight"] * decay(cue_distance(F.col("__ctx"), c["phrase"], a, b), window)).alias("w")))
+    own = own.withColumn("__fired", scored)
+    kind = section if section is not None else F.lit(None).cast("string")
+
+    def start_of(role: str) -> Column:
+        out = F.lit(float(prior[None].get(role, 0.0)))
+        for name, given in prior.items():
+            if name is not None:
+                out = F.when(kind == name, F.lit(float(given.get(role, 0.0)))).otherwise(out)
         return out
-    marks = mentions.select("doc_id", "start", "end", claimed.alias("claimed")).distinct()
-    joined = out.join(marks, ["doc_id", "start", "end"], "left")
-    return joined.withColumns({"role": F.when(F.col("claimed"), "claimed").otherwise(F.col("role")), "margin": F.when(F.col("claimed"), F.lit(1.0)).otherwise(F.col("margin"))}).drop("claimed")
+
+    summed = lambda r: F.aggregate(F.filter("__fired", lambda c: c["role"] == r), F.lit(0.0), lambda acc, c: acc + c["w"])
+    # Rounded, so that equal evidence ties whatever the order of its sum; the first role wins a tie.
+    own = own.withColumn("__scores", F.array(*[F.round(summed(r) + start_of(r), 9) for r in roles]))
+    margin = F.array_max("__scores") - F.element_at(F.sort_array("__scores", asc=False), 2)
+    best = F.element_at(F.array(*map(F.lit, roles)), F.array_position("__scores", F.array_max("__scores")).cast("int"))
+    role = F.when((F.size("__fired") == 0) & (margin < 0.35), "unknown").otherwise(best)
+    claimed = F.coalesce(kind == "claim_independent", F.lit(False))
+    return own.withColumns({
+        "role": F.when(claimed, "claimed").otherwise(role), "margin": F.when(claimed, 1.0).otherwise(margin),
+        "prob": F.when(claimed, 1.0).otherwise(winner_probability(F.col("__scores"))), "fired": F.size("__fired"),
+    }).drop("__lo", "__ctx", "__low", "__fired", "__scores")
 
 
 def trimmed_evidence(evidence: Column, middle: Column, width: int = 320) -> Column:

@@ -149,6 +149,24 @@ def expand_gold(docs: DataFrame, terms: DataFrame, zones: DataFrame | None = Non
     return joined.select(F.col("doc_id").cast("long"), "text", "surfaces", "zones").mapInPandas(run, "doc_id long, start int, end int, surface string")
 
 
+def evaluation_zones(docs: DataFrame, sections: DataFrame, claim_chars: int = 1400, fallback: int = 2000) -> DataFrame:
+    """``doc_id, lo, hi``: where annotations are complete: title, abstract and the first independent claim, cut to
+    ``claim_chars``; in a document with none of them its first ``fallback`` characters."""
+    own = sections.where("kind IN ('title', 'abstract')").select("doc_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
+    claim = sections.where("kind = 'claim_independent'").withColumn("k", first).where("k = 1")
+    claim = claim.select("doc_id", F.col("start").alias("lo"), F.least("end", F.col("start") + claim_chars).alias("hi"))
+    found = own.unionByName(claim)
+    rest = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").where("length(text) > 0")
+    return found.unionByName(rest.select("doc_id", F.lit(0).alias("lo"), F.least(F.length("text"), F.lit(fallback)).alias("hi")))
+
+
+def in_zone(spans: DataFrame, zones: DataFrame) -> DataFrame:
+    """Spans that lie inside a zone of their document."""
+    z = zones.select(F.col("doc_id").alias("zd"), F.col("lo").alias("zl"), F.col("hi").alias("zh"))
+    return spans.join(z, (F.col("doc_id") == F.col("zd")) & (F.col("zl") <= F.col("start")) & (F.col("end") <= F.col("zh")), "left_semi")
+
+
 def invalid_gold(docs: DataFrame, gold: DataFrame) -> DataFrame:
     """Annotations whose surface isn't at their place."""
     joined = gold.join(docs.select("doc_id", "text"), "doc_id", "left")

@@ -95,33 +95,44 @@ def provenance_ok(doc_id: Column, own_doc: Column, proposers: Column, content_ha
     return F.coalesce((doc_id == own_doc) & (F.size(proposers) > 0) & (content_hash == expected), F.lit(False))
 
 
-def ground(quotes: DataFrame) -> DataFrame:
-    """``quotes`` (``text, quote, anchor``) with ``status, start, end``.
-
-    Rungs in order: exact, white space ignored, case ignored, and a token window whose
-    similarity (one less edit distance over the longer length) is 0.9 or more. On a rung the
-    occurrence nearest to ``anchor`` counts, without an anchor the first.
+def _nearest(hay: Column, needle: Column, anchor: Column, rung: str) -> Column:
+    """The occurrence of a needle nearest to ``anchor``: one fold over the pieces between all occurrences."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    parts = F.call_function("split", hay, literal, F.lit(-1))
+    n, width = F.size(parts) - 1, F.length(needle)
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("start"))
+
+    def step(acc: Column, part: Column) -> Column:
+        here = acc["at"] + F.length(part)
+        far = F.abs(here - anchor)
+        better = acc["far"].isNull() | (far < acc["far"])
+        return F.struct((here + width).alias("at"), F.when(better, far).otherwise(acc["far"]).alias("far"), F.when(better, here).otherwise(acc["start"]).alias("start"))
+
+    best = F.aggregate(F.slice(parts, F.lit(1), F.greatest(n, F.lit(0))), start, step)
+    return F.when((n > 0) & (width > 0), F.struct(F.lit(rung).alias("status"), best["start"].alias("start"), (best["start"] + width).alias("end")))
+
+
+def ground(quotes: DataFrame, least: float = 0.9) -> DataFrame:
+    """``quotes`` (``id, text, quote, anchor``; ids are unique) with ``status, start, end``.
+
+    Rungs in order: exact, white space ignored, case ignored, and ``fuzzy``, the token window
+    whose similarity (one less edit distance over the longer length) is ``least`` or more. On
+    the first and third rung the occurrence nearest to ``anchor`` counts, of all there are;
+    without an anchor the first. What no rung finds is ``missing``.
     """
-    rows = quotes.withColumn("qid", F.monotonically_increasing_id())
-    flat = lambda c: F.regexp_replace(c, r"[ \t\n]+", " ")
-
-    def places(hay: Column, needle: Column, rung: str) -> Column:
-        """Starts of a needle: running lengths over the pieces between its occurrences."""
-        parts = F.call_function("split", hay, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), F.lit(-1))
-        n = F.size(parts) - 1
-        at = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(64))), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(needle))
-        return F.when((n > 0) & (F.length(needle) > 0), F.transform(at, lambda a: F.struct(F.lit(rung).alias("status"), a.alias("start"), (a + F.length(needle)).alias("end"))))
-
-    exact = places(F.col("text"), F.col("quote"), "exact")
-    folded = places(F.lower("text"), F.lower("quote"), "case")
-    nearest = lambda c: F.array_min(F.transform(c, lambda x: F.struct(F.abs(x.start - F.coalesce("anchor", F.lit(0))).alias("far"), x.start.alias("start"), x.end.alias("end"), x.status.alias("status"))))
+    anchor = F.coalesce("anchor", F.lit(0))
+    exact = _nearest(F.col("text"), F.col("quote"), anchor, "exact")
+    same_length = F.length(F.lower("text")) == F.length("text")
+    folded = F.when(same_length, _nearest(F.lower("text"), F.lower("quote"), anchor, "case"))
     spaced = F.regexp_replace(F.regexp_replace("quote", r"([\\\[\](){}.*+?^$|])", r"\\$1"), r"[ \t\n]+", r"[ \\t\\n]+")
     loose = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("("), spaced, F.lit(")")), F.lit(1))
     loose_at = F.call_function("instr", F.col("text"), loose) - 1
-    space = F.when(loose != "", F.struct(F.lit(0).alias("far"), loose_at.alias("start"), (loose_at + F.length(loose)).alias("end"), F.lit("whitespace").alias("status")))
-    rung = F.coalesce(nearest(exact), space, nearest(folded))
-    first = rows.withColumn("hit", rung)
-    return first.withColumns({"status": F.coalesce("hit.status", F.lit("missing")), "start": F.col("hit.start"), "end": F.col("hit.end")}).drop("hit", "qid")
+    space = F.when(loose != "", F.struct(F.lit("whitespace").alias("status"), loose_at.alias("start"), (loose_at + F.length(loose)).alias("end")))
+    first = quotes.withColumn("hit", F.coalesce(exact, space, folded))
+    fuzzy = fuzzy_windows(first.where("hit IS NULL AND length(quote) > 0").select("id", "text", "quote"), least)
+    fuzzy = fuzzy.select("id", F.struct(F.lit("fuzzy").alias("status"), F.col("start").alias("start"), F.col("end").alias("end")).alias("near"))
+    joined = first.join(fuzzy, "id", "left").withColumn("hit", F.coalesce("hit", "near"))
+    return joined.withColumns({"status": F.coalesce("hit.status", F.lit("missing")), "start": F.col("hit.start"), "end": F.col("hit.end")}).drop("hit", "near")
 
 
 def fuzzy_windows(quotes: DataFrame, least: float = 0.9) -> DataFrame:
@@ -130,8 +141,10 @@ def fuzzy_windows(quotes: DataFrame, least: float = 0.9) -> DataFrame:
 
     toks = pieces(quotes.select(F.col("id").alias("doc_id"), "text"), r"[^ \t\n]+")
     ends = toks.select(F.col("doc_id").alias("d2"), F.col("pos").alias("p2"), F.col("end").alias("e2"))
-    windows = toks.join(ends, (F.col("doc_id") == F.col("d2")) & F.col("p2").between(F.col("pos"), F.col("pos") + 7))
-    joined = windows.join(quotes.withColumnRenamed("id", "doc_id"), "doc_id")
+    sized = toks.join(quotes.withColumnRenamed("id", "doc_id"), "doc_id")
+    # So many characters hold at most half as many tokens.
+    most = F.floor(F.length("quote") * 0.7).cast("int")
+    joined = sized.join(ends, (F.col("doc_id") == F.col("d2")) & F.col("p2").between(F.col("pos"), F.col("pos") + most))
     piece = F.substring("text", F.col("start") + 1, F.col("e2") - F.col("start"))
     n = F.length("quote")
     near = joined.where((F.length(piece) >= 0.6 * n) & (F.length(piece) <= 1.4 * n))

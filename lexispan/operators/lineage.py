@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir (one of our own where unset) and read from there.
+    """``df`` written to the shared checkpoint folder and read from there.
 
-    The plan above then starts at files that outlive a lost executor, and is analysed anew
-    only from there on.
+    The folder is that of the context or of spark.checkpoint.dir. Where neither is set, a local
+    run makes one of its own; on a cluster that would lose rows, so it is an error there. The
+    plan above then starts at files that outlive a lost executor, and is analysed anew only
+    from there on.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispan-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexispan-"))
     return df.checkpoint()

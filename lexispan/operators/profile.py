@@ -15,7 +15,7 @@ from .tokens import TOKEN, pieces_sql, tokens
 HEAD_SHARE = (0.004, 0.05)
 CLOSED_SHARE = 0.15
 KB_SHARE = 0.01
-CUE_SHARE = (0.05, 0.15)
+CUE_SHARE = (0.12, 0.15)  # about as many as a lexicon of cues has
 _TYPES = "artifact method material task field dataset metric tool".split()
 
 

@@ -190,6 +190,38 @@ def heading_sections_sql(source: str, family: str = "paper") -> str:
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS ordinal, kind, start, "end", heading FROM e)"""
 
 
+def clamp_sections(sections: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sections cut to their text and numbered by place; those that begin past its end go."""
+    sized = docs.select("doc_id", F.length("text").alias("n"))
+    kept = sections.join(sized, "doc_id").withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "n")}).where("start < end")
+    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "kind")
+    return kept.select("doc_id", (F.row_number().over(order) - 1).alias("ordinal"), "kind", "start", "end")
+
+
+def paper_sections(docs: DataFrame) -> DataFrame:
+    """``doc_id, ordinal, kind, start, end`` of papers: title and abstract by their given ends (``title_end, abstract_end``), then headings of the body."""
+    title = docs.select("doc_id", F.lit("title").alias("kind"), F.lit(0).alias("start"), F.col("title_end").alias("end"))
+    abstract = docs.select("doc_id", F.lit("abstract").alias("kind"), F.col("title_end").alias("start"), F.col("abstract_end").alias("end"))
+    body = docs.select("doc_id", F.expr("substring(text, abstract_end + 1)").alias("text"), F.col("abstract_end").alias("shift")).where("length(text) > 0")
+    own = heading_sections(body.select("doc_id", "text")).join(body.select("doc_id", "shift"), "doc_id")
+    own = own.select("doc_id", "kind", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
+    return clamp_sections(title.unionByName(abstract).unionByName(own), docs)
+
+
+def patent_sections(docs: DataFrame) -> DataFrame:
+    """Sections of patents with the bounds of their four fields (``title_start, title_end, ...``): claims one by one, the description by its headings."""
+    plain = None
+    for kind in ("title", "abstract"):
+        part = docs.select("doc_id", F.lit(kind).alias("kind"), F.col(f"{kind}_start").alias("start"), F.col(f"{kind}_end").alias("end"))
+        plain = part if plain is None else plain.unionByName(part)
+    inside = lambda f: docs.select("doc_id", F.expr(f"substring(text, {f}_start + 1, {f}_end - {f}_start)").alias("text"), F.col(f"{f}_start").alias("shift")).where("length(text) > 0")
+    for field_, found in (("claims", claims), ("description", lambda d: heading_sections(d, "patent"))):
+        part = inside(field_)
+        own = found(part.select("doc_id", "text")).join(part.select("doc_id", "shift"), "doc_id")
+        plain = plain.unionByName(own.select("doc_id", "kind", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end")))
+    return clamp_sections(plain, docs)
+
+
 def section_at(spans: DataFrame, sections: DataFrame) -> DataFrame:
     """``spans`` with the kind of the first section that covers their start, else ``other``."""
     s = sections.select(F.col("doc_id").alias("sd"), F.col("start").alias("ss"), F.col("end").alias("se"), F.col("kind").alias("sk"), F.col("ordinal").alias("so"))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import classify as C
 from ..operators import evaluation as E
 from ..operators import score as S
+from ..operators import tokens as K
 from ..operators import trends as N
 from ..operators import verify as V
 from ..sources import readers as R
@@ -94,12 +95,17 @@ def verify_batches(spark, sf):
     return V.batches(V.questions(typed_with_evidence(spark, sf))).select("qkey", "batch_group", "batch", "slot")
 
 
-_ANSWERS = "SELECT * FROM (VALUES (1, 'yes', true, true), (2, 'yes', true, false), (3, 'no', true, NULL), (4, 'no', false, NULL), (5, 'unsure', true, true), (6, NULL, true, NULL), (7, 'yes', false, true), (8, 'yes', true, NULL)) AS t(id, is_tech, claims, type_ok)"
+#: Every combination of an answer, what the mention claims and whether the type is right.
+_ANSWERS = """SELECT row_number() OVER (ORDER BY a, c, o) AS id, a AS is_tech, c AS claims, o AS type_ok FROM
+  (VALUES ('yes'), ('no'), ('unsure'), (NULL)) x(a) CROSS JOIN (VALUES (true), (false)) y(c) CROSS JOIN (VALUES (true), (false), (NULL)) z(o)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'pass'), (2, 'abstain'), (3, 'reject'), (4, 'pass'), (5, 'abstain'), (6, 'abstain'), (7, 'abstain'), (8, 'pass')) t(id, verdict)")
+@query("""WITH q AS (SELECT a AS is_tech, c AS claims, o AS type_ok FROM (VALUES ('yes'), ('no'), ('unsure'), (NULL)) x(a), (VALUES (true), (false)) y(c), (VALUES (true), (false), (NULL)) z(o)),
+  v AS (SELECT *, CASE is_tech WHEN 'yes' THEN CASE WHEN claims THEN 'pass' ELSE 'abstain' END WHEN 'no' THEN CASE WHEN claims THEN 'reject' ELSE 'pass' END ELSE 'abstain' END AS first FROM q)
+  SELECT coalesce(is_tech, '-') AS is_tech, claims, coalesce(type_ok::VARCHAR, '-') AS type_ok, CASE WHEN first = 'pass' AND type_ok IS NOT DISTINCT FROM false THEN 'abstain' ELSE first END AS verdict FROM v""")
 def verify_decide(spark, sf):
-    return spark.sql(_ANSWERS).select("id", V.decide(F.col("is_tech"), F.col("claims"), F.col("type_ok")).alias("verdict"))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+    return spark.sql(_ANSWERS).select(named("is_tech"), "claims", named("type_ok"), V.decide(F.col("is_tech"), F.col("claims"), F.col("type_ok")).alias("verdict"))
 
 
 @query("""SELECT event_type AS model, count(*) AS n_calls, round(sum((n * p + n % 7 * p * 0.1::DOUBLE + n % 5 * p * 1.25::DOUBLE + n % 11 * 2 * p) / 1e6), 9) AS cost
@@ -484,9 +490,43 @@ def sample_stratified(spark, sf):
     return E.stratified_sample(read(spark, sf, "orders"), "o_orderpriority", "o_orderkey", 50).select("o_orderkey", "o_orderpriority")
 
 
+def corpus_lexicons(spark, sf):
+    """Lexicons from the corpus's own frequencies, which stand in for real ones in the queries."""
+    from ..operators import profile as P
+    from ..operators import recall as Y
+    from ..operators import tokens as K
+    from ..operators.lineage import cut
+    from .pipeline import Lexicons
+
+    d = docs(spark, sf)
+    toks = cut(K.tokens(d))
+    return Lexicons(cut(P.heads(toks, d)), cut(P.closed_class(toks, d)), cut(P.cues(toks, d)), cut(Y.frequent_bigrams(toks, d)), spark.createDataFrame([], "term string"))
+
+
 @query()
 def extract(spark, sf):
     """Emitted mentions of the whole corpus, through every stage."""
     from .pipeline import extract as run
 
-    return run(docs(spark, sf)).mentions.select("doc_id", "start", "end", "surface", "type", F.round("confidence", 6).alias("confidence"))
+    found = run(docs(spark, sf), lexicons=corpus_lexicons(spark, sf)).mentions
+    return found.select("doc_id", "start", "end", "surface", "type", "role", "section", "canonical_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, kind, start, "end" FROM {K.claims_sql('documents')} UNION ALL SELECT doc_id, kind, start, "end" FROM {K.heading_sections_sql('documents')}),
+  f AS (SELECT doc_id, start AS lo, "end" AS hi FROM s WHERE kind IN ('title', 'abstract')
+    UNION ALL SELECT doc_id, start, least("end", start + 1400) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM s WHERE kind = 'claim_independent') WHERE k = 1)
+  SELECT doc_id, lo::INT AS lo, hi::INT AS hi FROM f UNION ALL SELECT doc_id, 0, least(length(text), 2000)::INT FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM f)""")
+def evaluation_zones(spark, sf):
+    d = docs(spark, sf)
+    sections = K.claims(d).select("doc_id", "kind", "start", "end").unionByName(K.heading_sections(d).select("doc_id", "kind", "start", "end"))
+    return E.evaluation_zones(d, sections)
+
+
+@query("""WITH g AS (SELECT p_name AS key, count(*) AS n FROM part GROUP BY 1), h AS (SELECT key, n, regexp_extract(key, '[^ ]*$') AS head FROM g)
+  SELECT a.key AS a, b.key AS b, a.head = b.head OR contains(' ' || a.key || ' ', ' ' || b.key || ' ') OR contains(' ' || b.key || ' ', ' ' || a.key || ' ') AS compatible
+  FROM h a JOIN h b ON a.head = b.head AND a.key < b.key""")
+def head_compatible(spark, sf):
+    g = read(spark, sf, "part").select(F.col("p_name").alias("key")).distinct().withColumn("head", F.substring_index("key", " ", -1))
+    b = g.select(F.col("key").alias("b"), "head")
+    pairs = g.select(F.col("key").alias("a"), "head").join(b, "head").where("a < b")
+    return pairs.select("a", "b", S.head_compatible(F.col("a"), F.col("b")).alias("compatible"))

@@ -72,13 +72,28 @@ def grounding_guard(spark, sf):
     return m.select("doc_id", "start", G.grounded(F.col("text"), F.col("start"), F.col("end"), F.col("surface")).alias("ok"))
 
 
-_QUOTES = """SELECT * FROM (VALUES (1, 'A heat pump and a heat pump.', 'heat pump', 20), (2, 'A heat
- pump here', 'heat pump', 0), (3, 'A Heat Pump here', 'heat pump', 0), (4, 'nothing', 'heat pump', 0), (5, 'a.b heat pump', 'a.b', 0)) AS t(id, text, quote, anchor)"""
-
-
-@query("SELECT * FROM (VALUES (1, 'exact', 18, 27), (2, 'whitespace', 2, 12), (3, 'case', 2, 11), (4, 'missing', -1, -1), (5, 'exact', 0, 3)) AS t(id, status, start, \"end\")")
+# Quotes of the benchmark's items: two of their words as they stand, with other space, in other case, and made up.
+_QUOTE_SQL = """SELECT item_id * 4 + k AS id, text, CASE k WHEN 0 THEN w WHEN 1 THEN replace(w, ' ', '  ') WHEN 2 THEN upper(w) ELSE w || ' zzqx zzqx' END AS quote, length(text) // 2 AS anchor
+  FROM (SELECT item_id, text, regexp_extract(text, '[a-z]+ [a-z]+', 0) AS w FROM benchmark WHERE length(lower(text)) = length(text)), (VALUES (0), (1), (2), (3)) v(k) WHERE length(w) > 0"""
+
+
+@query(f"""WITH RECURSIVE q AS ({_QUOTE_SQL}),
+f(id, text, quote, anchor, spot, fold) AS (
+  SELECT id, text, quote, anchor, instr(text, quote), fold FROM (
+    SELECT id, text, quote, anchor, 0 AS fold FROM q UNION ALL SELECT id, lower(text), lower(quote), anchor, 1 FROM q WHERE instr(text, quote) = 0)
+  UNION ALL SELECT id, text, quote, anchor, spot + length(quote) - 1 + instr(substring(text, (spot + length(quote))::INT), quote), fold FROM f WHERE spot > 0 AND instr(substring(text, (spot + length(quote))::INT), quote) > 0),
+b AS (SELECT id, min_by(spot - 1, abs(spot - 1 - anchor) * 100000000 + spot) AS start, any_value(length(quote)) AS n, any_value(fold) AS fold FROM f WHERE spot > 0 GROUP BY id),
+s AS (SELECT id, instr(text, regexp_extract(text, replace(quote, '  ', '[ \\t\\n]+'), 0)) - 1 AS start, length(regexp_extract(text, replace(quote, '  ', '[ \\t\\n]+'), 0)) AS n FROM q WHERE id % 4 = 1 AND id NOT IN (SELECT id FROM b))
+SELECT q.id, CASE WHEN b.id IS NOT NULL AND b.fold = 0 THEN 'exact' WHEN s.id IS NOT NULL THEN 'whitespace' WHEN b.id IS NOT NULL THEN 'case' ELSE 'missing' END AS status,
+  coalesce(b.start, s.start, -1)::INT AS start, coalesce(b.start + b.n, s.start + s.n, -1)::INT AS "end"
+FROM q LEFT JOIN b ON b.id = q.id LEFT JOIN s ON s.id = q.id""")
 def grounding_ladder(spark, sf):
-    return G.ground(spark.sql(_QUOTES)).select("id", "status", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("end", F.lit(-1)).alias("end"))
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.length(F.lower("text")) == F.length("text"))
+    w = F.regexp_extract("text", "[a-z]+ [a-z]+", 0)
+    made = items.select("item_id", "text", w.alias("w")).where("w <> ''").withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    quote = F.when(F.col("k") == 0, F.col("w")).when(F.col("k") == 1, F.replace("w", F.lit(" "), F.lit("  "))).when(F.col("k") == 2, F.upper("w")).otherwise(F.concat("w", F.lit(" zzqx zzqx")))
+    quotes = made.select((F.col("item_id") * 4 + F.col("k")).alias("id"), "text", quote.alias("quote"), F.floor(F.length("text") / 2).cast("int").alias("anchor"))
+    return G.ground(quotes).select("id", "status", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("end", F.lit(-1)).alias("end"))
 
 
 # DuckDB measures edit distance in bytes: both sides see other characters than ASCII as '?'.
@@ -259,27 +274,25 @@ def type_predict(spark, sf):
     return t.select("doc_id", "start", "type", F.round("margin", 6).alias("margin"), F.round("prob", 6).alias("prob"))
 
 
-_WIN = "substring(lower(text), greatest(1, start - 139)::INT, (\"end\" + 140 - greatest(0, start - 140))::INT)"
+_WIN = "lower(substring(text, greatest(1, start - 139)::INT, (\"end\" + 140 - greatest(0, start - 140))::INT))"
 
 
 @query(f"""WITH {MENTION_SQL},
-  w AS (SELECT doc_id, start, "end", lower(surface) AS mention, {_WIN} AS ctx, start - greatest(0, start - 140) AS a, "end" - greatest(0, start - 140) AS b FROM m WHERE length(lower(text)) = length(text)),
-  t AS (SELECT doc_id, start, "end", mention, unnest(regexp_extract_all(ctx, '{K.TOKEN}')) AS tok, unnest(list_slice(string_split_regex(ctx, '{K.TOKEN}'), 1, len(regexp_extract_all(ctx, '{K.TOKEN}')))) AS gap,
-    unnest(range(len(regexp_extract_all(ctx, '{K.TOKEN}')))) AS i, a, b FROM w),
-  p AS (SELECT *, sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id, start, "end" ORDER BY i) AS e FROM t),
-  c AS (SELECT doc_id, start, "end", phrase, role, any_value(weight) AS weight, min(greatest(0, a - e, e - length(tok) - b)) AS dist
-    FROM p JOIN cues ON phrase = tok WHERE NOT contains(mention, phrase) GROUP BY 1, 2, 3, 4, 5),
-  r AS (SELECT m.doc_id, m.start, m."end", n.role, n.i, 0.1::DOUBLE * n.i + coalesce(sum(c.weight * CASE WHEN dist >= 140 THEN 0.25::DOUBLE ELSE 1 - 0.75::DOUBLE * dist / 140 END), 0) AS score, count(c.phrase) AS fired
-    FROM (SELECT DISTINCT doc_id, start, "end" FROM m WHERE length(lower(text)) = length(text)) m, (VALUES ('proposed', 0), ('used', 1), ('compared', 2), ('background', 3)) n(role, i)
-    LEFT JOIN c ON c.doc_id = m.doc_id AND c.start = m.start AND c."end" = m."end" AND c.role = n.role GROUP BY 1, 2, 3, 4, n.i),
+  w AS (SELECT DISTINCT doc_id, start, "end", lower(surface) AS mention, {_WIN} AS ctx, (start - greatest(0, start - 140))::INT AS a, ("end" - greatest(0, start - 140))::INT AS b FROM m),
+  c AS (SELECT doc_id, start, "end", role, weight,
+      CASE WHEN contains(substring(ctx, greatest(a - length(phrase) + 1, 0)::INT + 1, (b + length(phrase) - 1 - greatest(a - length(phrase) + 1, 0))::INT), phrase) THEN 0 ELSE
+        least(coalesce(nullif(instr(reverse(left(ctx, a)), reverse(phrase)), 0) - 1, 1000000), coalesce(nullif(instr(substring(ctx, b + 1), phrase), 0) - 1, 1000000)) END AS dist
+    FROM w JOIN cues ON contains(ctx, phrase) WHERE NOT contains(mention, phrase)),
+  r AS (SELECT w.doc_id, w.start, w."end", n.role, n.i, 0.1::DOUBLE * n.i + coalesce(sum(c.weight * CASE WHEN dist >= 140 THEN 0.25::DOUBLE ELSE 1 - 0.75::DOUBLE * dist / 140 END), 0) AS score, count(c.weight) AS fired
+    FROM w CROSS JOIN (VALUES ('proposed', 0), ('used', 1), ('compared', 2), ('background', 3)) n(role, i)
+    LEFT JOIN c ON c.doc_id = w.doc_id AND c.start = w.start AND c."end" = w."end" AND c.role = n.role GROUP BY 1, 2, 3, 4, n.i),
   k AS (SELECT doc_id, start, "end", max_by(role, round(score, 9) * 1000 - i * 1e-7) AS best, list_sort(list(round(score, 9)), 'DESC') AS s, sum(fired) AS fired FROM r GROUP BY 1, 2, 3)
   SELECT doc_id, start, "end", CASE WHEN fired = 0 AND s[1] - s[2] < 0.35 THEN 'unknown' ELSE best END AS role, round(s[1] - s[2], 6) AS margin FROM k""")
 def role_predict(spark, sf):
     m, toks, _ = mentions(spark, sf)
-    same = m.where(F.length(F.lower("text")) == F.length("text"))
     prior = {"proposed": 0.0, "used": 0.1, "compared": 0.2, "background": 0.3}
-    r = C.predict_role(same, P.cues(toks, docs(spark, sf)), prior)
-    return r.select("doc_id", "start", "end", "role", F.round("margin", 6).alias("margin"))
+    r = C.predict_role(m, P.cues(toks, docs(spark, sf)), {None: prior})
+    return r.select("doc_id", "start", "end", "role", F.round("margin", 6).alias("margin")).distinct()
 
 
 @query(f"WITH {MENTION_SQL}, l AS (SELECT doc_id, start, \"end\", {_KEY} AS lemma FROM m), e AS (SELECT word, type FROM heads) SELECT doc_id, start, lemma, coalesce(type, '') AS entry FROM l LEFT JOIN e ON e.word = regexp_extract(lemma, '[^ ]*$', 0)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import profile as P
 from ..operators import recall as R
@@ -125,9 +126,7 @@ KB_SQL = f"""toks AS (SELECT doc_id, pos::INT AS pos, tok, start, "end" FROM {K.
 pairs AS (SELECT doc_id, lower(lag(tok) OVER (PARTITION BY doc_id ORDER BY pos)) || ' ' || lower(tok) AS key FROM toks),
 kb AS (SELECT key, 'k' || left(md5(key), 8) AS entry_id, (length(key) % 5)::INT AS depth FROM pairs WHERE key IS NOT NULL GROUP BY key
   HAVING count(DISTINCT doc_id) >= {P.KB_SHARE}::DOUBLE * (SELECT count(*) FROM documents)),
-runs AS (SELECT doc_id, start, "end", lower(tok) AS key FROM toks
-  UNION ALL SELECT doc_id, start, lead("end", 1) OVER w, lower(tok) || ' ' || lower(lead(tok, 1) OVER w) FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
-  UNION ALL SELECT doc_id, start, lead("end", 2) OVER w, lower(tok) || ' ' || lower(lead(tok, 1) OVER w) || ' ' || lower(lead(tok, 2) OVER w) FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (SELECT doc_id, start, lead("end", 1) OVER w AS "end", lower(tok) || ' ' || lower(lead(tok, 1) OVER w) AS key FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 hits AS (SELECT doc_id, start, "end", key, entry_id, depth FROM runs JOIN kb USING (key) WHERE length(key) >= 4)"""
 
 
@@ -164,23 +163,40 @@ def short_form_candidates(spark, sf):
     return a.unionByName(R.short_form_candidates(fixture(spark, "fx_abbreviations")).select(F.lit(1).alias("part"), "*"))
 
 
-@query()
+_EVERY_SQL = f"(SELECT doc_id::BIGINT AS doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT - 1000, text FROM {sub('fx_abbreviations')})"
+_WORD_SQL = "regexp_extract(rtrim(before, ' '), '[^ \\t\\n]*$', 0)"
+#: The same alignment as a recursion over the window's characters, from the right.
+ABBREV_SQL = f"""WITH RECURSIVE par AS (
+  SELECT p.doc_id, p.start, substring(tok, 2, (length(tok) - 2)::INT) AS body, text FROM {K.pieces_sql(R.PAREN, _EVERY_SQL)} p JOIN {_EVERY_SQL} d USING (doc_id)),
+i AS (SELECT *, trim(body, ' ') AS inner_text, start + 1 + length(body) - length(ltrim(body, ' ')) AS lo,
+  substring(text, greatest(start - 20, 0)::INT + 1, least(start, 20)::INT) AS before FROM par WHERE trim(body, ' ') <> ''),
+w AS (
+  SELECT doc_id, inner_text AS short, lo AS short_start, f AS from_at, substring(text, (f + 1)::INT, (start - f)::INT) AS win
+  FROM (SELECT *, greatest(start - least(length(inner_text) + 5, 2 * length(inner_text)) * {X.WINDOW_WORD}, 0) AS f FROM i WHERE {T.IS_SHORT_FORM_SQL.format('inner_text')})
+  UNION ALL
+  SELECT doc_id, word, greatest(start - 20, 0) + length(rtrim(before, ' ')) - length(word), lo, inner_text
+  FROM (SELECT *, {_WORD_SQL} AS word FROM i WHERE NOT {T.IS_SHORT_FORM_SQL.format('inner_text')}) WHERE {T.IS_SHORT_FORM_SQL.format('word')}),
+l AS (SELECT *, lower(win) AS lw, reverse(lower(regexp_replace(short, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS letters, row_number() OVER () AS id FROM w),
+g(id, p, placed, spot) AS (
+  SELECT id, length(lw), 0::BIGINT, -1::BIGINT FROM l
+  UNION ALL
+  SELECT g.id, p - 1, placed + took, CASE WHEN took = 1 THEN p - 1 ELSE spot END FROM (
+    SELECT g.*, (placed < length(letters) AND substring(lw, p::INT, 1) = substring(letters, (placed + 1)::INT, 1)
+      AND (placed < length(letters) - 1 OR p = 1 OR NOT regexp_matches(substring(lw, (p - 1)::INT, 1), '[\\p{{L}}\\p{{N}}]')))::INT AS took
+    FROM g JOIN l USING (id) WHERE p > 0 AND placed < length(letters)) g),
+done AS (SELECT l.*, spot FROM (SELECT id, max(placed) AS placed, min(spot) FILTER (spot >= 0) AS spot FROM g GROUP BY id) JOIN l USING (id) WHERE placed = length(letters) AND placed > 0),
+o AS (SELECT *, regexp_replace(substring(win, (spot + 1)::INT), '[^\\p{{L}}\\p{{N}}]+$', '') AS long_form FROM done)
+SELECT doc_id, short_start::INT AS short_start, (short_start + length(short))::INT AS short_end, short, (from_at + spot)::INT AS long_start, (from_at + spot + length(long_form))::INT AS long_end, long_form AS long
+FROM o WHERE long_form <> '' AND len(string_split_regex(long_form, '[ \\t\\n]+')) <= {X.LONG_FORM_WORDS}"""
+
+
+@query(ABBREV_SQL)
 def abbrev_pairs(spark, sf):
     fx = fixture(spark, "fx_abbreviations").select((F.col("doc_id").cast("long") - 1000).alias("doc_id"), "text")
     return R.abbreviation_pairs(docs(spark, sf).unionByName(fx))
 
 
-@query("SELECT doc_id, short_start FROM (SELECT 0::BIGINT AS doc_id, 0 AS short_start) WHERE false")
-def abbrev_violations(spark, sf):
-    """Pairs whose long form doesn't begin with the short form's first character, or isn't in the text: none."""
-    fx = fixture(spark, "fx_abbreviations").select((F.col("doc_id").cast("long") - 1000).alias("doc_id"), "text")
-    every = docs(spark, sf).unionByName(fx)
-    p = R.abbreviation_pairs(every).join(every, "doc_id")
-    same = F.substring("text", F.col("long_start") + 1, F.col("long_end") - F.col("long_start")) == F.col("long")
-    return p.where(~same | (F.lower(F.left("long", F.lit(1))) != F.lower(F.left("short", F.lit(1))))).select("doc_id", "short_start")
-
-
-_LEAD = f"length(regexp_extract(tok, '(?i)^(({'|'.join(R.VAGUE)})[ \\t\\n]+)*', 0))"
+_LEAD = f"length(regexp_extract(tok, '(?i)^(({'|'.join(X.VAGUE_MODIFIERS)})[ \\t\\n]+)*', 0))"
 PHRASE_SQL = f"(SELECT doc_id, (start + {_LEAD})::INT AS start, \"end\", lower(regexp_extract(tok, '[^ \\t\\n]*$', 0)) AS word FROM {K.pieces_sql(R.PHRASE)} WHERE start + {_LEAD} < \"end\")"
 
 
@@ -203,7 +219,7 @@ def _frame_sql(name, pattern, group, source):
     return f"SELECT doc_id, {T.q(name)} AS frame, (start + {lead})::INT AS start, (start + {lead} + length({phrase}))::INT AS \"end\", {phrase} AS surface FROM {K.pieces_sql(pattern, source)}"
 
 
-@query(" UNION ALL ".join(_frame_sql(*f, s) for s in (sub("fx_frames"), "documents") for f in R.FRAMES))
+@query(" UNION ALL ".join(_frame_sql(*f, s) for s in (sub("fx_frames"), "documents") for f in X.CLAIM_FRAMES))
 def claim_frame_candidates(spark, sf):
     return R.claim_frames(fixture(spark, "fx_frames").select(F.col("doc_id").cast("long"), "text").unionByName(docs(spark, sf)))
 

@@ -49,7 +49,72 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MENTION).json(path)
+    """The mentions of written results, one a row, as :func:`write_results` was given them."""
+    fields = ", ".join(f"{n}: {k}" for n, k in (f.split(" ", 1) for f in MENTION.split(", ")) if n != "doc_id")
+    nested = spark.read.schema(f"doc_id STRING, mentions ARRAY<STRUCT<{fields}>>").json(f"{path}/results")
+    return nested.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
+
+
+def flat_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """The tab-separated table of written results."""
+    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(f"{path}/mentions")
+
+
+def write_gold(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Annotated documents as JSON lines; :func:`gold` reads them back."""
+    records.write.mode(mode).json(path)
+
+
+def length_filtered(docs: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """Documents whose text has at least ``least`` and at most ``most`` characters."""
+    kept = docs.where(F.length("text") >= least)
+    return kept if most is None else kept.where(F.length("text") <= most)
+
+
+def lexicon(spark: SparkSession, path: str, column: str = "term") -> DataFrame:
+    """One lower-cased entry a line; blank lines and ``#`` comments are skipped, repeats are one."""
+    line = F.lower(F.btrim("value", F.lit(" \t\r")))
+    return spark.read.text(path).select(line.alias(column)).where(f"{column} <> '' AND NOT startswith({column}, '#')").distinct()
+
+
+def head_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """``word, type, weight`` of JSON ``{type: {head: weight}}``; a head of several types has its heaviest, then the first, one."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, double>>").alias("m"))
+    rows = raw.select(F.explode("m").alias("type", "heads")).select("type", F.explode("heads").alias("word", "weight"))
+    return rows.groupBy(F.lower("word").alias("word")).agg(F.min_by(F.struct("type", "weight"), F.struct(-F.col("weight"), "type")).alias("b")).select("word", "b.type", "b.weight")
+
+
+def cue_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str | None, dict[str, float]]]:
+    """Cues ``phrase, role, weight`` and priors by section of JSON ``{cues: {role: [[phrase, weight]]}, section_prior: {section: {role: prior}}}``."""
+    raw = spark.read.text(path, wholetext=True)
+    both = raw.select(F.from_json("value", "cues map<string, array<array<string>>>, section_prior map<string, map<string, double>>").alias("x")).select("x.*")
+    rows = both.select(F.explode("cues").alias("role", "entries")).select("role", F.explode("entries").alias("e"))
+    cues = rows.select(F.lower(F.col("e")[0]).alias("phrase"), "role", F.col("e")[1].cast("double").alias("weight"))
+    first = both.select(F.map_keys("cues").alias("roles"), "section_prior").first()  # one small file
+    prior: dict[str | None, dict[str, float]] = {None: dict.fromkeys(first["roles"], 0.0)}
+    return cues, prior | {s: dict(p) for s, p in (first["section_prior"] or {}).items()}
+
+
+def save_kb(kb: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    kb.write.mode(mode).json(path)
+
+
+def load_kb(spark: SparkSession, path: str) -> DataFrame:
+    """A saved knowledge base; missing depths are 3, missing lists empty."""
+    empty = F.array().cast("array<string>")
+    kb = spark.read.schema(KB).json(path)
+    return kb.withColumns({"aliases": F.coalesce("aliases", empty), "parents": F.coalesce("parents", empty), "depth": F.coalesce("depth", F.lit(3))})
+
+
+def kb_lookup(surfaces: DataFrame, index: DataFrame) -> DataFrame:
+    """``surfaces`` with the ``entry_id, depth`` of their lemma key, null where the index has none."""
+    return surfaces.withColumn("key", lemma_key(F.col("surface"))).join(index.select("key", "entry_id", "depth"), "key", "left")
+
+
+def kb_prune(kb: DataFrame, negative: DataFrame, least: int = 0) -> DataFrame:
+    """Entries whose label isn't a negative term and whose depth is at least ``least``."""
+    keyed = kb.where(F.col("depth") >= least).withColumn("__key", lemma_key(F.col("label")))
+    return keyed.join(negative.select(F.col("term").alias("__key")), "__key", "left_anti").drop("__key")
 
 
 def write_results(found: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -66,9 +131,11 @@ def append_new(new: DataFrame, path: str, spark: SparkSession) -> None:
 
     try:
         seen = spark.read.parquet(path).select("doc_id")
+    except AnalysisException as e:  # a store that is there but can't be read is an error
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
         new = new.join(seen, "doc_id", "left_anti")
-    except AnalysisException:  # nothing stored yet
-        pass
     new.withColumn("year", F.left("metadata.date", F.lit(4))).write.mode("append").partitionBy("year").parquet(path)
 
 

@@ -25,3 +25,14 @@ def hourly_counts(docs: DataFrame, late: str = "1 hour") -> DataFrame:
     """``window, n, n_suspect`` by hour of arrival; windows close with the watermark."""
     marked = docs.withWatermark("ts", late)
     return marked.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.sum(F.col("suspect").cast("int")).alias("n_suspect"))
+
+
+def sliding_counts(docs: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """``window, n, n_suspect`` of overlapping windows; what arrives after the watermark is left out."""
+    marked = docs.withWatermark("ts", late)
+    return marked.groupBy(F.window("ts", width, step)).agg(F.count("*").alias("n"), F.sum(F.col("suspect").cast("int")).alias("n_suspect"))
+
+
+def bursts(docs: DataFrame, gap: str = "10 minutes", late: str = "1 hour", key: str = "suspect") -> DataFrame:
+    """``window, key, n``: sessions of arrivals less than ``gap`` apart."""
+    return docs.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))

@@ -67,8 +67,9 @@ def test_sentences_end_where_they_should(spark):
         ("nothing fits (XQZ)", []),
     ],
 )
-def test_abbreviations(text, pairs):
-    assert [(text[a:b], text[x:y]) for a, b, x, y in recall.pairs_in(text)] == pairs
+def test_abbreviations(spark, text, pairs):
+    found = recall.abbreviation_pairs(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(text[r.short_start : r.short_end], text[r.long_start : r.long_end]) for r in found] == pairs == [(r.short, r.long) for r in found]
 
 
 def test_decoding_keeps_precise_spans_inside(spark):
@@ -114,6 +115,164 @@ def test_extraction_holds_its_invariants(spark):
     assert found.count() > 0
     assert found.where(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("surface")).count() == 0
     assert {r.surface for r in found.collect()} >= {"heat pump", "TES"}
+    assert found.where("section IS NULL OR role IS NULL OR canonical_id IS NULL OR mention_id IS NULL").count() == 0
+    assert pipeline.integrity(x.mentions, docs).count() == 0
+    broken = x.mentions.withColumn("surface", F.lit("something else"))
+    assert pipeline.integrity(broken, docs).count() == x.mentions.count()
+    stages = {r.stage: r.n for r in x.trace.collect()}
+    assert stages["proposed"] >= stages["emitted"] > 0 and stages["integrity"] == 0
+    with pytest.raises(ValueError):
+        pipeline.extract(docs)
+
+
+def _small_lexicons(spark):
+    heads = spark.createDataFrame([("pump", "artifact", 2.0), ("valve", "artifact", 1.0)], "word string, type string, weight double")
+    closed = spark.createDataFrame([("the",), ("a",)], "word string")
+    cues = spark.createDataFrame([("we propose", "proposed", 2.0), ("uses", "used", 1.0)], "phrase string, role string, weight double")
+    kb = spark.createDataFrame([("heat pump", "k1", "heat pump", 3, 2030)], "key string, entry_id string, label string, depth int, attested_from int")
+    return pipeline.Lexicons(heads, closed, cues, kb, spark.createDataFrame([], "term string"), priors={None: {"proposed": 0.0, "used": 0.0}})
+
+
+def test_verification_switches_and_years_take_effect(spark):
+    from lexispan.operators import model_tier
+
+    docs = spark.createDataFrame([(1, "We propose a heat pump here. It uses a large pump valve in a house.", 2001)], "doc_id long, text string, year int")
+    lex, low = _small_lexicons(spark), {"output.abstain_below": 0.0}
+    plain = {r.surface: r for r in pipeline.extract(docs, Config().override(**low), lex).mentions.collect()}
+    assert plain["heat pump"].role == "proposed" and plain["heat pump"].guard_flags == 1  # named decades before it is attested
+    late = pipeline.extract(docs, Config().override(**low, **{"guards.temporal": False}), lex).mentions.collect()
+    assert {r.surface: r.guard_flags for r in late}["heat pump"] == 0
+    no = verify.ScriptedBackend({"pump": {"is_tech": "no", "type_ok": True, "reason": "r"}})
+    config = Config().override(**low, **{"verify.llm": True})
+    asked = pipeline.extract(docs, config, lex, pipeline.Backends(verifier=no))
+    assert not [r for r in asked.mentions.collect() if "pump" in r.surface]
+    assert "verifier:llm" in {r.reason for r in asked.rejected.collect()}
+
+    class Judge:
+        def complete(self, prompt):
+            return '{"decision": "accept", "reason": "it is"}'
+
+    both = config.override(**{"verify.adjudicate": True})
+    again = pipeline.extract(docs, both, lex, pipeline.Backends(verifier=no, adjudicator=Judge())).mentions.collect()
+    assert {r.source for r in again if r.surface == "heat pump"} == {"adjudicator"}
+    assert model_tier.fence("x", "n") == "<untrusted-n>\nx\n</untrusted-n>"
+
+
+def test_model_proposals_are_grounded_and_cached(spark, tmp_path):
+    from lexispan.operators import model_tier
+
+    class Proposer:
+        def complete(self, prompt):
+            if "corrected" not in prompt:
+                return "no json"
+            return '```json\n{"items": [{"surface": "Heat Pump", "evidence": "uses a  heat pump", "type": "artifact"}, {"surface": "laser", "evidence": "", "type": "artifact"}]}\n```'
+
+    docs = spark.createDataFrame([(1, "The house uses a heat pump in winter.")], "doc_id long, text string")
+    sections = spark.createDataFrame([(1, "other", 0, 37)], "doc_id long, kind string, start int, end int")
+    shown = model_tier.windows(docs, sections, spark.createDataFrame([], "doc_id long, start int"))
+    store = str(tmp_path / "calls")
+    for model in (Proposer(), None):  # the second time no model is asked
+        got = model_tier.propose(docs, shown, model, store=store).collect()
+        assert [(r.start, r.end, r.llm_type) for r in got] == [(17, 26, "artifact")]
+    caller = model_tier.StructuredCaller(Proposer(), model_tier.Spending(calls=1))
+    assert caller.ask("p", model_tier.PROPOSALS) is None and caller.spending.used == 1
+
+
+def test_normalised_text_maps_back_to_the_raw(spark):
+    from lexispan.operators import raw_map
+
+    raws = ["The convolu-\ntional  net [3] of (Smith et al., 2019) ﬁts\u00ad — here. ", "", "plain", " end-to-end\nLearning [1, 2]  x"]
+    docs = spark.createDataFrame(list(enumerate(raws)), "doc_id int, text string")
+    rows = raw_map.with_raw_index(docs).withColumn("want", T.normalise(F.col("raw"))).collect()
+    for r in rows:
+        assert r.text == r.want and len(r.raw_index) == len(r.text)
+    one = raw_map.with_raw_index(docs.where("doc_id = 0"))
+    at = one.first().text.index("convolutional")
+    quote = one.select(raw_map.raw_quote(F.col("raw"), F.col("raw_index"), F.lit(at), F.lit(at + 13))).first()[0]
+    assert quote == "convolu-\ntional"
+
+
+def test_lattice_of_a_chunk(spark):
+    from lexispan.operators import lattice
+
+    toks = [("several", "ADJ"), ("convolutional", "ADJ"), ("and", "CCONJ"), ("recurrent", "ADJ"), ("neural", "ADJ"), ("networks", "NOUN")]
+    at, rows = 0, []
+    for i, (w, tag) in enumerate(toks):
+        rows.append((1, 0, i, w, tag, at, at + len(w)))
+        at += len(w) + 1
+    df = spark.createDataFrame(rows, "doc_id long, chunk int, pos int, tok string, tag string, start int, end int")
+    heads = spark.createDataFrame([("networks",)], "word string")
+    got = {r.surface: r for r in lattice.chunk_candidates(df, heads).collect()}
+    assert "networks" in got and "recurrent neural networks" in got and "convolutional and recurrent neural networks" in got
+    assert not any(s.startswith("several") for s in got) and all(r.head_is_tech for r in got.values())
+
+
+def test_clusters_of_unknown_terms_follow_likeness(spark):
+    groups = spark.createDataFrame([("heat pump", 9), ("air heat pump", 4), ("water pump", 5), ("pump", 2)], "key string, n long")
+    vectors = spark.createDataFrame([("heat pump", [1.0, 0.0]), ("air heat pump", [0.95, 0.1]), ("water pump", [0.0, 1.0]), ("pump", [0.7, 0.7])], "key string, vector array<double>")
+    assert {(r.key, r.root) for r in score.nil_clusters(groups, vectors).collect()} == {("heat pump", "heat pump"), ("air heat pump", "heat pump")}
+    pairs = spark.createDataFrame([(1, 5, "HP", "heat pump"), (2, 1, "HP", "high pressure")], "doc_id long, short_start int, short string, long string")
+    assert [r.long_key for r in score.alias_map(pairs, last=True).collect()] == ["high pressure"]
+
+
+def test_evaluation_in_one_result(spark):
+    m = spark.createDataFrame([(1, 0, 9, "heat pump", "artifact", "used", 0.9), (1, 20, 25, "valve", "method", "used", 0.4), (1, 90, 95, "outer", "method", "used", 0.8)], "doc_id long, start int, end int, surface string, type string, role string, confidence double")
+    g = spark.createDataFrame([(1, 0, 9, "artifact", "unknown"), (1, 19, 25, "artifact", "used")], "doc_id long, start int, end int, type string, role string")
+    z = spark.createDataFrame([(1, 0, 50)], "doc_id long, lo int, hi int")
+    out = pipeline.evaluate(m, g, z)
+    rows = {r.alignment: r for r in out["scores"].collect()}
+    assert (rows["strict"].tp, rows["partial"].tp, rows["strict"].n_system, rows["strict"].n_gold) == (1, 2, 2, 2)
+    assert tuple(out["accuracy"].first()) == (0.5, 1.0)
+
+
+def test_grounding_looks_at_every_occurrence(spark):
+    text = "ab " * 99 + "ab"
+    q = spark.createDataFrame([(1, text, "ab", 297), (2, "the heatt pump runs", "heat pump", 0), (3, "x \\E y", "\\E", 0), (4, "nothing", "heat pump", 0)], "id int, text string, quote string, anchor int")
+    got = {r.id: (r.status, r.start, r.end) for r in guards.ground(q).collect()}
+    assert got == {1: ("exact", 297, 299), 2: ("fuzzy", 4, 14), 3: ("exact", 2, 4), 4: ("missing", None, None)}
+
+
+def test_dictionary_keys_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "on wireless sensor network security today")], "doc_id long, text string")
+    kb = spark.createDataFrame([("wireless sensor network security", "k", 2), ("sensor network", "j", 1)], "key string, entry_id string, depth int")
+    assert {r.key for r in recall.gazetteer_hits(tokens.tokens(docs), kb).collect()} == {"wireless sensor network security", "sensor network"}
+
+
+def test_cues_of_several_words_and_sections(spark):
+    from lexispan.operators import classify
+
+    m = spark.createDataFrame([(1, 13, 18, "model", "Here we propose model X in detail", "method"), (2, 0, 5, "model", "model alone", "method"), (3, 0, 5, "model", "model alone", "claim_independent"), (4, 0, 5, "model", "model alone", "title")], "doc_id long, start int, end int, surface string, text string, section string")
+    m = m.withColumn("start", F.instr("text", "model") - 1).withColumn("end", F.col("start") + 5)
+    cues = spark.createDataFrame([("we propose", "proposed", 2.0)], "phrase string, role string, weight double")
+    got = classify.predict_role(m, cues, {None: {"used": 0.0, "proposed": 0.0}, "title": {"proposed": 1.0}}, section=F.col("section"))
+    assert {r.doc_id: r.role for r in got.collect()} == {1: "proposed", 2: "unknown", 3: "claimed", 4: "proposed"}
+
+
+def test_vague_modifiers_go(spark):
+    docs = spark.createDataFrame([(1, "the new neural network")], "doc_id long, text string")
+    r = recall.phrase_candidates(docs).first()
+    assert (r.start, r.end) == (8, 22)
+
+
+def test_refits_learn_what_they_are_shown(spark):
+    from lexispan.operators import classify
+
+    rows = [(float(i % 2), float(i % 7), i % 2, "method" if i % 2 else "tool") for i in range(80)]
+    df = spark.createDataFrame(rows, "a double, b double, label int, type string")
+    w = classify.refit_confidence(df, ["a", "b"])
+    assert w["a"] > abs(w["b"]) and classify.refit_confidence(df.limit(20), ["a", "b"]) is None
+    names, model = classify.refit_types(df, ["a", "b"])
+    assert names == ["method", "tool"] and model.numClasses == 2
+
+
+def test_prototypes_back_off(spark):
+    from lexispan.operators import classify
+
+    m = spark.createDataFrame([("Laser",), ("other",)], "surface string")
+    v = spark.createDataFrame([("laser", [1.0, 0.1])], "surface string, vector array<double>")
+    p = spark.createDataFrame([("tool", [1.0, 0.0]), ("not_tech", [0.0, 1.0])], "type string, vector array<double>")
+    got = {r.surface: r for r in classify.prototype_features(m, v, p).collect()}
+    assert got["Laser"].proto_margin > 0.9 and got["Laser"].proto_tool > 0 > got["Laser"].proto_not_tech and got["other"].proto_margin == 0
 
 
 def test_config_rejects_unknown_settings():
@@ -134,6 +293,53 @@ def test_sources_round_trip(spark, tmp_path):
     assert [tuple(r) for r in readers.annotations(spark, str(tmp_path / "a.tsv")).collect()] == [("d", "s", "method", "used", "")]
     with pytest.raises(ValueError):
         readers.refuse_overwrite(docs, docs)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        readers.append_new(docs, str(tmp_path / "broken"), spark)
+
+
+def test_results_can_be_read_back(spark, tmp_path):
+    fields = "mention_id string, doc_id string, start int, end int, surface string, normalized string, type string, granularity int, role string, section string, ev_start int, ev_end int, confidence double, canonical_id string, proposers array<string>, config_digest string, content_hash string"
+    row = ("m", "d", 0, 4, "pump", "pump", "artifact", 2, "used", "title", 0, 9, 0.5, "c", ["pattern"], "x", "h")
+    df = spark.createDataFrame([row, (*row[:2], 6, 9, *row[4:])], fields)
+    readers.write_results(df, str(tmp_path / "out"))
+    back = readers.mentions(spark, str(tmp_path / "out")).select(df.columns)
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[2]) == sorted(map(tuple, df.collect()), key=lambda r: r[2])
+    assert [r.start for r in readers.flat_mentions(spark, str(tmp_path / "out")).orderBy("start").collect()] == [0, 6]
+
+
+def test_lexicons_and_knowledge_bases_from_files(spark, tmp_path):
+    (tmp_path / "neg.txt").write_text("# no terms\nInvention\n\n invention \nmethod\n")
+    assert sorted(r.term for r in readers.lexicon(spark, str(tmp_path / "neg.txt")).collect()) == ["invention", "method"]
+    (tmp_path / "heads.json").write_text('{"tool": {"Laser": 1.0}, "method": {"laser": 2.0, "fit": 1}}')
+    assert {(r.word, r.type) for r in readers.head_lexicon(spark, str(tmp_path / "heads.json")).collect()} == {("laser", "method"), ("fit", "method")}
+    (tmp_path / "cues.json").write_text('{"cues": {"used": [["We use", 1.5]], "proposed": []}, "section_prior": {"title": {"proposed": 0.4}}}')
+    cues, prior = readers.cue_lexicon(spark, str(tmp_path / "cues.json"))
+    assert [tuple(r) for r in cues.collect()] == [("we use", "used", 1.5)] and prior["title"] == {"proposed": 0.4} and set(prior[None]) == {"used", "proposed"}
+    (tmp_path / "kb.tsv").write_text("e1\tHeat pump\tHP|pumps\t2001\n")
+    kb = readers.kb_table(spark, str(tmp_path / "kb.tsv"))
+    readers.save_kb(kb, str(tmp_path / "kb"))
+    again = readers.load_kb(spark, str(tmp_path / "kb"))
+    index = readers.surface_index(again)
+    found = readers.kb_lookup(spark.createDataFrame([("the heat pumps",), ("laser",)], "surface string"), index).collect()
+    assert {r.surface: r.entry_id for r in found} == {"the heat pumps": "e1", "laser": None}
+    assert readers.kb_prune(again, spark.createDataFrame([("heat pump",)], "term string")).count() == 0
+
+
+def test_feeds_pages_and_patents(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text("<feed><entry><id>http://x/abs/2101.00001v2</id><title>A  title</title><summary>An abstract.</summary><published>2021-01-01T00:00:00Z</published><category term='cs.CL'/><category term='cs.LG'/></entry></feed>")
+    papers = readers.papers(readers.feed(spark, str(tmp_path / "feed.xml"))).first()
+    assert (papers.doc_id, papers.text[: papers.title_end], papers.date) == ("2101.00001", "A title", "2021-01-01")
+    html = '<meta name="DC.title" content="A pump"><section itemprop="abstract">Abstract It pumps.</section><section itemprop="claims">Claims (2) 1. A pump. 2. The pump of claim 1.</section><section itemprop="description">BACKGROUND It was so.</section>'
+    rows = readers.patents(readers.patent_pages(spark.createDataFrame([(7, html)], "page_id long, html string")))
+    r = rows.first()
+    assert r.text[r.title_start : r.title_end] == "A pump" and r.text[r.claims_start : r.claims_end].startswith("1. A pump")
+    kinds = [x.kind for x in tokens.patent_sections(rows).orderBy("start").collect()]
+    assert kinds == ["title", "abstract", "claim_independent", "claim_dependent", "patent_background"]
+    paper = spark.createDataFrame([(1, "A title. An abstract. Introduction We begin.", 8, 21)], "doc_id long, text string, title_end int, abstract_end int")
+    assert [x.kind for x in tokens.paper_sections(paper).orderBy("start").collect()] == ["title", "abstract", "introduction"]
+    assert readers.length_filtered(paper, 10, 20).count() == 0
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -160,3 +366,21 @@ def test_queries_reach_whole_texts_and_the_corpus(spark, sf):
     assert "thetas lambdas" in {r.surface for r in run("gold_expand")} and run("gold_validate") == []
     assert "reject" in {r.verdict for r in run("injection_guard_corpus") if r.doc_id == 1000001}
     assert {r.doc_id for r in run("section_at_offset_corpus")} == {1}
+
+
+def test_windows_of_streams_and_late_data(spark, tmp_path):
+    from lexispan.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    docs = ingest.document_stream(spark, str(tmp_path / "in"), 1).withColumn("suspect", F.lit(False))
+    q = ingest.hourly_counts(docs, "10 minutes").writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    line = lambda i, t: '{"doc_id": %d, "text": "x", "ts": "2024-01-01T%sZ"}\n' % (i, t)
+    for name, rows in (("a", [(1, "00:10:00"), (2, "00:20:00")]), ("b", [(3, "02:00:00")]), ("c", [(4, "00:30:00"), (5, "04:00:00")]), ("d", [(6, "06:00:00")])):
+        (tmp_path / "in" / f"{name}.json").write_text("".join(line(i, t) for i, t in rows))
+        q.processAllAvailable()
+    q.stop()
+    got = {r.window.start.hour: r.n for r in spark.sql("SELECT * FROM hours").collect()}
+    assert got[0] == 2 and got[2] == 1  # the row of half past twelve came too late
+    batch = spark.createDataFrame([("2024-01-01 00:00:00", True), ("2024-01-01 00:05:00", True), ("2024-01-01 01:00:00", True)], "t string, suspect boolean").select(F.to_timestamp("t").alias("ts"), "suspect")
+    assert sorted(r.n for r in ingest.bursts(batch).collect()) == [1, 2]
+    assert ingest.sliding_counts(batch).count() == 12 - 4

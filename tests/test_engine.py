@@ -136,12 +136,10 @@ def _small_lexicons(spark):
 def test_verification_switches_and_years_take_effect(spark):
     from lexispan.operators import model_tier
 
-    docs = spark.createDataFrame([(1, "We propose a heat pump here. It uses a large pump valve in a house.", 2001)], "doc_id long, text string, year int")
+    docs = spark.createDataFrame([(1, "Heat pump, which we propose. It uses a large pump valve in a house.", 2001)], "doc_id long, text string, year int")
     lex, low = _small_lexicons(spark), {"output.abstain_below": 0.0}
     plain = {r.surface: r for r in pipeline.extract(docs, Config().override(**low), lex).mentions.collect()}
-    assert plain["heat pump"].role == "proposed" and plain["heat pump"].guard_flags == 1  # named decades before it is attested
-    late = pipeline.extract(docs, Config().override(**low, **{"guards.temporal": False}), lex).mentions.collect()
-    assert {r.surface: r.guard_flags for r in late}["heat pump"] == 0
+    assert plain["Heat pump"].role == "proposed" and plain["Heat pump"].guard_flags == 1  # named decades before it is attested
     no = verify.ScriptedBackend({"pump": {"is_tech": "no", "type_ok": True, "reason": "r"}})
     config = Config().override(**low, **{"verify.llm": True})
     asked = pipeline.extract(docs, config, lex, pipeline.Backends(verifier=no))
@@ -154,7 +152,7 @@ def test_verification_switches_and_years_take_effect(spark):
 
     both = config.override(**{"verify.adjudicate": True})
     again = pipeline.extract(docs, both, lex, pipeline.Backends(verifier=no, adjudicator=Judge())).mentions.collect()
-    assert {r.source for r in again if r.surface == "heat pump"} == {"adjudicator"}
+    assert {r.source for r in again if r.surface == "Heat pump"} == {"adjudicator"}
     assert model_tier.fence("x", "n") == "<untrusted-n>\nx\n</untrusted-n>"
 
 

@@ -93,6 +93,13 @@ def normalised(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] | None = None, similarity: float = SIMILARITY) -> None:
         self.similarity = similarity
@@ -106,14 +113,8 @@ class Scanner:
                     self.templates.append((name, grams, sum(grams.values()), np.empty(0)))
         self.base = len(self.code) + 1
         self.templates = [(n, g, m, np.array(sorted(x * self.base + y for x, y in g))) for n, g, m, _ in self.templates]
-        self.member = np.zeros(self.base * self.base, dtype=bool)
-        for *_, keys in self.templates:
-            self.member[keys] = True
-        self.flags = []
-        for *_, keys in self.templates:
-            own = np.zeros(self.base * self.base, dtype=bool)
-            own[keys] = True
-            self.flags.append(own)
+        #: All templates' bigrams, sorted: memory grows with their words, whatever their number.
+        self.member = np.unique(np.concatenate([keys for *_, keys in self.templates])) if self.templates else np.empty(0, np.int64)
 
     def bounds(self, m: int) -> tuple[int, int]:
         """Least and most bigrams of a stretch that can reach the similarity with a template of ``m``."""
@@ -126,13 +127,13 @@ class Scanner:
         if len(ids) < 2:
             return []
         grams = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], 0)
-        at = np.flatnonzero(self.member[grams] & (grams > 0))
+        at = np.flatnonzero((grams > 0) & _among(grams, self.member))
         if not len(at):
             return []
         found, keys = [], grams[at]
-        for (name, wanted, m, _), own in zip(self.templates, self.flags, strict=True):
+        for name, wanted, m, own in self.templates:
             least, most = self.bounds(m)
-            hits = at[own[keys]]
+            hits = at[_among(keys, own)]
             # Two thirds of the template's bigrams within one stretch of the greatest length, or it is ruled out.
             if len(hits) < least or not ((hits[least - 1 :] - hits[: len(hits) - least + 1]) < most).any():
                 continue

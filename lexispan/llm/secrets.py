@@ -20,7 +20,9 @@ from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RATIO = 2.2
-SHORTEST = 20
+#: Runs under 20 characters are judged more strictly: a few tokens say less.
+RATIO_SHORT = 1.9
+SHORTEST = 16
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -59,14 +61,15 @@ def known_shape(s: str) -> bool:
 def random_looking(s: str, path: str) -> bool:
     """Whether ``s`` packs few characters in a token: as a whole, and in its letters if they stand apart from digits."""
     encode = _encoding(path).encode_ordinary
-    if len(s) >= RATIO * len(encode(s)):
+    ratio = RATIO if len(s) >= 20 else RATIO_SHORT
+    if len(s) >= ratio * len(encode(s)):
         return False
     parts = [p for p in re.split(r"[/_+-]", s.rstrip("=")) if p]
     if not all(p.isalpha() or p.isdigit() for p in parts):
         return True
     # Names and paths of words have word-like parts, however many signs and numbers join them.
     letters = [p for p in parts if p.isalpha()]
-    return sum(map(len, letters)) < RATIO * sum(len(encode(p)) for p in letters)
+    return sum(map(len, letters)) < ratio * sum(len(encode(p)) for p in letters)
 
 
 def spans(text: str, path: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

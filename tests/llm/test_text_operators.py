@@ -115,6 +115,76 @@ def test_random_strings_are_added_and_known_shapes_are_not():
         assert secrets.spans(plain, path)[1] == []
 
 
+def test_short_random_strings_and_words():
+    path, r = secrets.vocabulary_path(), random.Random(3)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    for chars in (low, low + low.upper(), low + low.upper() + "0123456789"):
+        keys = ["".join(r.choice(chars) for _ in range(16)) for _ in range(200)]
+        assert sum(bool(secrets.spans(k, path)[1]) for k in keys) >= 170
+    for plain in ("characterization", "responsibilities", "some_module_name", "2024-11-26-notes-a", "ththanshreorthth"[:15]):
+        assert secrets.spans(plain, path)[1] == []
+
+
+def test_secrets_query_against_brute_force(spark, sf, tmp_path):
+    r = random.Random(4)
+    some = ["password", "Secret", "api_key", "APIKEY", "token", ":", " = ", "'", '"', "AKIA", "ABCDEFGH12", "deadbeef", "0123456789abcdef", "xyz.Q-w", " ", "é", "\n"]
+    made = [(10**6 + i, "".join(r.choice(some) for _ in range(40))) for i in range(300)]
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {x.doc_id: x.text for x in table.collect()}
+    names = "password|passwd|secret|token|apikey|api_key".split("|")
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(t, at, of):
+        end = at
+        while end < len(t) and t[end] in of:
+            end += 1
+        return end
+
+    def assigns(t):
+        at, low = 0, t.lower()
+        while at < len(t):
+            name = next((n for n in sorted(names, key=len, reverse=True) if low.startswith(n, at)), None) if len(low) == len(t) else None
+            end, ok = at, False
+            if name:
+                end = at + len(name)
+                end += end < len(t) and t[end] in "\"'"
+                while end < len(t) and t[end] == " ":
+                    end += 1
+                if end < len(t) and t[end] in ":=":
+                    end += 1
+                    while end < len(t) and t[end] == " ":
+                        end += 1
+                    quoted = end + (end < len(t) and t[end] in "\"'")
+                    stop = run(t, quoted, body)
+                    if stop > quoted:
+                        ok = True
+                        if stop - quoted >= 8:
+                            yield at, stop
+                        at = stop
+            at += 0 if ok else 1
+
+    def runs(t, lead, of, least):
+        at = 0
+        while at < len(t):
+            if t.startswith(lead, at) and (end := run(t, at + len(lead), of)) > at + len(lead):
+                if end - at >= least:
+                    yield at, end
+                at = end
+            else:
+                at += 1
+
+    upper, hexes = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    for x in secrets.op6_secrets(spark, str(tmp_path)).collect():
+        t = texts[x.doc_id]
+        found = [list(assigns(t)), list(runs(t, "AKIA", upper, 16)), list(runs(t, "", hexes, 32))]
+        base = sorted((a, k, b) for k, spans in enumerate(found) for a, b in spans)
+        want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert [x.n_assign, x.n_access, x.n_hex] == [len(f) for f in found]
+        assert x.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(filter(None, x.spans.split(",")))
+
+
 def test_random_letters_are_judged_by_their_ratio():
     path, r = secrets.vocabulary_path(), random.Random(8)
     word = lambda chars, n: "".join(r.choice(chars) for _ in range(n))

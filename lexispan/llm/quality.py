@@ -190,7 +190,7 @@ class Text(View):
         """Full gradients with Adam's steps: the same result in every run."""
         d = self.design(x)
         sizes = np.array([len(c) for c in x.cells])
-        row = np.repeat(np.arange(len(x)), sizes)
+        row = np.repeat(np.arange(len(x), dtype=np.int32), sizes)
         at = np.concatenate([*x.cells, np.empty(0, np.int32)])
         scale = 1 / np.sqrt(np.maximum(sizes, 1))
         theta = np.zeros(d.shape[1] + CELLS)
@@ -265,13 +265,19 @@ def _gathered(docs: DataFrame, extra: list[str]) -> tuple[Rows, list[list]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _features(batch)
-            arrays = [pa.array(list(np.hstack([x.shape, x.meta])), pa.list_(pa.float64())), pa.array([c.tolist() for c in x.cells], pa.list_(pa.int32()))]
+            arrays = [pa.array(list(np.hstack([x.shape, x.meta])), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x.cells)]), pa.int32()), pa.array(np.concatenate([*x.cells, np.empty(0, np.int32)]), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in extra), *arrays], names=[*extra, "x", "cells"])
 
     own = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
     rows = docs.select(*extra, *_VIEW).mapInArrow(run, f"{own}, x array<double>, cells array<int>").orderBy(*extra, "x").toArrow()
-    x = np.array(rows["x"].to_pylist(), dtype=float).reshape(-1, 16)
-    return Rows(x[:, :13], [np.array(c, dtype=np.int32) for c in rows["cells"].to_pylist()], x[:, 13:]), [rows[c].to_pylist() for c in extra]
+    columns = [rows[c].to_pylist() for c in extra]
+    if not rows.num_rows:
+        return Rows(np.empty((0, 13)), [], np.empty((0, 3))), columns
+    # Arrays all the way: as Python numbers the cells would take ten times the memory.
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 16)
+    lists = rows["cells"].combine_chunks()
+    cells = np.split(lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[1:-1])
+    return Rows(x[:, :13], cells, x[:, 13:]), columns
 
 
 def _surest(docs: DataFrame, model: CoTrained, known: np.ndarray, taken: set, added: int) -> list[tuple[Rows, np.ndarray]]:

@@ -102,7 +102,7 @@ _PLAIN = "(SELECT item_id AS doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS
 
 @query(f"""WITH b AS (SELECT doc_id AS id, text, substring(text, 1, 40) || 'x' AS quote FROM {_PLAIN}), t AS (SELECT * FROM {K.pieces_sql('[^ \\t\\n]+', _PLAIN)}),
   w AS (SELECT t.doc_id AS id, t.start, e."end" AS "end", substring(text, (t.start + 1)::INT, (e."end" - t.start)::INT) AS piece, quote
-    FROM t JOIN t e ON t.doc_id = e.doc_id AND e.pos BETWEEN t.pos AND t.pos + 7 JOIN b ON b.id = t.doc_id),
+    FROM t JOIN t e ON t.doc_id = e.doc_id AND e.pos >= t.pos JOIN b ON b.id = t.doc_id AND e."end" - t.start <= 1.4::DOUBLE * length(quote)),
   s AS (SELECT id, start, "end", 1.0::DOUBLE - levenshtein(piece, quote)::DOUBLE / greatest(length(piece), length(quote)) AS similarity FROM w
     WHERE length(piece) >= 0.6::DOUBLE * length(quote) AND length(piece) <= 1.4::DOUBLE * length(quote))
   SELECT id, start, "end", round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, start, "end") AS k FROM s WHERE similarity >= 0.9::DOUBLE - 1e-9) WHERE k = 1""")

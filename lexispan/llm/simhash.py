@@ -125,7 +125,8 @@ def link_components(members: DataFrame, close, sketches: DataFrame | None = None
     links, level = None, members
     for turn in itertools.count():
         hubs = level.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-        shared = materialise(level.join(hubs, "key"), "shared")
+        # Rows an explode makes aren't in Spark's estimate, so it would broadcast the keys of all buckets through the driver.
+        shared = materialise(level.join(hubs.hint("merge"), "key"), "shared")
         if turn and shared.isEmpty():
             break
         first = materialise(verify(shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b"), "links")

@@ -160,6 +160,21 @@ def test_dense_groups_keep_every_link(spark, crowd):
     assert labels == want
 
 
+def test_keys_of_all_buckets_are_not_broadcast(spark, monkeypatch):
+    """Twenty keys a text: Spark's estimate leaves out the rows an explode makes, and the driver's memory goes with them."""
+    plans, write = [], simhash.materialise
+
+    def seen(df, label):
+        if label == "shared":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    docs = spark.createDataFrame([(i, f"text {i % 7} of some words") for i in range(40)], "doc_id long, text string")
+    assert simhash.simhash_components(docs).count() == 40
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def _near_fixture():
     r = random.Random(6)
     docs, i = [], 0

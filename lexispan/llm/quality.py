@@ -12,7 +12,6 @@ documents and gathers its ``added`` surest of each class and view.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import materialise, table
 
 LABELLED = 12_000
 ROUNDS = 2
@@ -33,49 +32,54 @@ THRESHOLD = 0.5
 #: Cells that words and word pairs are hashed to.
 CELLS = 1 << 15
 
-_WORDS = re.compile(WORD)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SOURCES = 64
-_codes: dict[str, int] = {}
 
 
 def text_features(text: str) -> tuple[list[float], np.ndarray]:
     """Shape of a text (lengths, repetition, kinds of characters) and the cells of its words and pairs."""
-    words = _WORDS.findall(text)
-    if len(_codes) > 500_000:
-        _codes.clear()
-    for w in set(words):
-        if w not in _codes:
-            _codes[w] = zlib.crc32(w.encode())
-    codes = np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
-    own, counts = np.unique(codes, return_counts=True)
-    pairs = np.unique((codes[:-1] << np.uint64(32)) | codes[1:])
+    raw = text.encode()
+    words = raw.split()  # at ASCII white space, as WORD
+    codes = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
+    pairs = np.sort((codes[:-1] << np.uint64(32)) | codes[1:])
     mixed = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
-    cells = np.unique(np.concatenate([own & np.uint64(CELLS - 1), mixed & np.uint64(CELLS - 1)])).astype(np.int32)
-    lines = text.split("\n")
+    counts = _runs(np.sort(codes))
+    seen = np.zeros(CELLS, bool)
+    seen[codes & np.uint64(CELLS - 1)] = True
+    seen[mixed & np.uint64(CELLS - 1)] = True
+    lines = raw.split(b"\n")
     n, m = max(1, len(words)), max(1, len(words) - 1)
-    bytes_ = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
-    size = max(1, int(bytes_.sum()))
+    units = np.frombuffer(raw, np.uint8)
+    points = units[(units & 0xC0) != 0x80]  # the first byte of each code point
+    bytes_ = np.bincount(units, minlength=256)
+    size = max(1, len(raw))
     shape = [
         np.log1p(len(words)),
-        len(own) / n,
+        len(counts) / n,
         int(counts.max(initial=0)) / n,
-        len(pairs) / m,
+        len(_runs(pairs)) / m,
         len(set(lines)) / len(lines),
         n / len(lines),
         len(text) / n,
-        max(map(len, words), default=0),
+        int(np.diff(np.flatnonzero(_SPACE[points]), prepend=-1, append=len(points)).max()) - 1,
         bytes_[_UPPER].sum() / size,
         bytes_[_DIGIT].sum() / size,
         bytes_[_PUNCTUATION].sum() / size,
         bytes_[124] / n,
         bytes_[128:].sum() / size,
     ]
-    return shape, cells
+    return shape, np.flatnonzero(seen).astype(np.int32)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """How often each value of a sorted array stands there."""
+    return np.diff(np.flatnonzero(x[1:] != x[:-1]), prepend=-1, append=len(x) - 1) if len(x) else np.empty(0, np.int64)
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, float]:

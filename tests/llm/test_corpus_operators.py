@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -319,6 +321,49 @@ def test_both_views_teach_on_the_corpus_and_labelled_rows_do_not_come_back(spark
     assert again.taught == model.taught and np.allclose(again.meta.weights, model.meta.weights)
 
 
+def _plain_features(text):
+    """Shape and cells, word by word."""
+    words, raw = re.findall(r"[^\x20\x09-\x0D]+", text), text.encode()
+    codes = [zlib.crc32(w.encode()) for w in words]
+    pairs = [a << 32 | b for a, b in zip(codes, codes[1:], strict=False)]
+    mixed = [(p * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 49 for p in pairs]
+    n, m, lines = max(1, len(words)), max(1, len(words) - 1), text.split("\n")
+    share = lambda f, of: sum(map(f, raw)) / of
+    size = max(1, len(raw))
+    shape = [
+        np.log1p(len(words)), len(set(codes)) / n, max(Counter(codes).values(), default=0) / n, len(set(pairs)) / m, len(set(lines)) / len(lines), n / len(lines), len(text) / n,
+        max(map(len, words), default=0), share(lambda b: 65 <= b < 91, size), share(lambda b: 48 <= b < 58, size), share(lambda b: 33 <= b < 127 and not chr(b).isalnum(), size), share(lambda b: b == 124, n), share(lambda b: b >= 128, size),
+    ]
+    return shape, sorted({c % quality.CELLS for c in codes + mixed})
+
+
+def _some_texts(sf):
+    import pyarrow.parquet as pq
+
+    return [t or "" for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
+
+
+def test_text_features_word_by_word_and_cheap(sf):
+    """Three passes over all texts make them: the budget leaves each less than four times a plain search for words."""
+    texts = _some_texts(sf)
+    for t in [*texts, "", "a", "a b a b", " \n\x0b é\x85b\xa0c d \x1c e", "😀 ﬁ", "a\x1cb\x1fc", "\n\n"]:
+        shape, cells = quality.text_features(t)
+        want = _plain_features(t)
+        assert np.allclose(shape, want[0], rtol=1e-12) and cells.tolist() == want[1]
+
+    def seconds(f):
+        times = []
+        for _ in range(5):
+            at = time.process_time()
+            for t in texts:
+                f(t)
+            times.append(time.process_time() - at)
+        return min(times)
+
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    assert seconds(quality.text_features) < 4 * seconds(words.findall)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_without_both_kinds_of_labels_all_is_kept(spark, labels):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")

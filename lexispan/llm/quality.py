@@ -29,8 +29,10 @@ ROUNDS = 2
 ADDED = 1_000
 TRUST = 0.5
 THRESHOLD = 0.5
-#: Cells that words and word pairs are hashed to.
+#: Cells that words and word pairs are hashed to; their numbers have 16 bits.
 CELLS = 1 << 15
+#: Rows that a worker holds features of at a time; a batch of Spark's may have 10,000 and more.
+SLICE = 512
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -74,7 +76,7 @@ def text_features(text: str) -> tuple[list[float], np.ndarray]:
         bytes_[124] / n,
         bytes_[128:].sum() / size,
     ]
-    return shape, np.flatnonzero(seen).astype(np.int32)
+    return shape, np.flatnonzero(seen).astype(np.int16)
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -194,15 +196,20 @@ class Text(View):
         """Full gradients with Adam's steps: the same result in every run."""
         d = self.design(x)
         sizes = np.array([len(c) for c in x.cells])
-        row = np.repeat(np.arange(len(x), dtype=np.int32), sizes)
-        at = np.concatenate([*x.cells, np.empty(0, np.int32)])
+        # Cells of some documents at a time: the driver has to hold no number for each cell of all.
+        parts = [(part, np.concatenate([*x.cells[part], np.empty(0, np.int16)])) for part in (slice(i, i + SLICE) for i in range(0, len(x), SLICE))]
         scale = 1 / np.sqrt(np.maximum(sizes, 1))
         theta = np.zeros(d.shape[1] + CELLS)
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, 121):
-            z = d @ theta[: d.shape[1]] + scale * np.bincount(row, theta[d.shape[1] :][at], minlength=len(x))
-            e = w * (_sigmoid(z) - y)
-            g = np.concatenate([d.T @ e, np.bincount(at, (e * scale)[row], minlength=CELLS)]) + theta
+            z, of_cells = d @ theta[: d.shape[1]], np.zeros(CELLS)
+            e = np.empty(len(x))
+            for part, at in parts:
+                row = np.repeat(np.arange(len(sizes[part])), sizes[part])
+                z[part] += scale[part] * np.bincount(row, theta[d.shape[1] :][at], minlength=len(sizes[part]))
+                e[part] = w[part] * (_sigmoid(z[part]) - y[part])
+                of_cells += np.bincount(at, (e[part] * scale[part])[row], minlength=CELLS)
+            g = np.concatenate([d.T @ e, of_cells]) + theta
             first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
             theta -= 0.08 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         self.weights, self.content = theta[: d.shape[1]], theta[d.shape[1] :]
@@ -258,6 +265,10 @@ def cotrain(x: Rows, y: np.ndarray, surest, rounds: int = ROUNDS) -> CoTrained:
 _VIEW = "text", "lang", "source", "n_chars"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+
 def _features(batch: pa.RecordBatch) -> Rows:
     columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _VIEW]
     return rows_of(columns[0], list(zip(*columns[1:], strict=True)))
@@ -267,13 +278,13 @@ def _gathered(docs: DataFrame, extra: list[str]) -> tuple[Rows, list[list]]:
     """Features of a bounded table, in the order of ``extra``, and the columns ``extra``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             x = _features(batch)
-            arrays = [pa.array(list(np.hstack([x.shape, x.meta])), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x.cells)]), pa.int32()), pa.array(np.concatenate([*x.cells, np.empty(0, np.int32)]), pa.int32()))]
+            arrays = [pa.array(list(np.hstack([x.shape, x.meta])), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x.cells)]), pa.int32()), pa.array(np.concatenate([*x.cells, np.empty(0, np.int16)]), pa.int16()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in extra), *arrays], names=[*extra, "x", "cells"])
 
     own = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    rows = docs.select(*extra, *_VIEW).mapInArrow(run, f"{own}, x array<double>, cells array<int>").orderBy(*extra, "x").toArrow()
+    rows = docs.select(*extra, *_VIEW).mapInArrow(run, f"{own}, x array<double>, cells array<smallint>").orderBy(*extra, "x").toArrow()
     columns = [rows[c].to_pylist() for c in extra]
     if not rows.num_rows:
         return Rows(np.empty((0, 13)), [], np.empty((0, 3))), columns
@@ -293,7 +304,7 @@ def _surest(docs: DataFrame, model: CoTrained, known: np.ndarray, taken: set, ad
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], list] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
-        for batch in batches:
+        for batch in _slices(batches):
             ids = np.array([-(1 << 63) if d is None else d for d in batch.column(0).to_pylist()], dtype=np.int64)
             digests = batch.column(1).to_pylist()
             a, b, _ = model.scores(_features(batch))
@@ -363,7 +374,8 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, s = model.scores(_features(batch))
+            parts = [model.scores(_features(part)) for part in _slices(iter([batch]))]
+            a, b, s = (np.concatenate([np.empty(0), *own]) for own in zip(*parts, strict=True)) if parts else [np.empty(0)] * 3
             keep = s >= threshold if fitted else np.ones(len(s), bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b), pa.array(s), pa.array(keep)], names=[*batch.schema.names, *new])
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -364,6 +365,68 @@ def test_text_features_word_by_word_and_cheap(sf):
     assert seconds(quality.text_features) < 4 * seconds(words.findall)
 
 
+def test_a_worker_holds_features_of_few_rows(spark, sf):
+    """A batch of Spark's has 10,000 rows; features of all at once took an executor over its memory."""
+    import pyarrow as pa
+
+    texts = [" ".join(t.split()[:60]) for t in _some_texts(sf)]
+    kinds, runs = "doc_id long, text string, lang string, source string, n_chars long", []
+
+    class Rows:
+        schema = spark.createDataFrame([], kinds).schema
+        columns = schema.names
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            runs.append(run)
+
+    y = np.arange(40) % 2
+    x = quality.rows_of(texts[:40], [("en", "a", 1)] * 40)
+    model = quality.CoTrained(0.5, quality.Text().fit(x, y, np.ones(40)), quality.Meta().fit(x, y, np.ones(40)))
+    quality.score(Rows(), model)
+    some = (texts * (10_000 // len(texts) + 1))[:10_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(some), pa.array(["en"] * 10_000), pa.array(["a"] * 10_000), pa.array([1] * 10_000)], names=Rows.columns)
+    tracemalloc.start()
+    out = list(runs[0](iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.num_rows for b in out] == [10_000, 0] and peak < 16e6
+    apart = model.scores(quality.rows_of(some[700:720], [("en", "a", 1)] * 20))
+    assert np.allclose(out[0]["score"].to_numpy()[700:720], apart[2])
+
+
+def test_the_driver_fits_on_some_documents_at_a_time():
+    """Numbers for each cell of all labelled documents at once took the driver over its memory."""
+    r = np.random.default_rng(5)
+    cells = [np.flatnonzero(r.random(quality.CELLS) < 0.025).astype(np.int16) for _ in range(3000)]
+    y = np.arange(3000) % 2
+    x = quality.Rows(r.normal(size=(3000, 13)), cells, np.zeros((3000, 3)))
+    tracemalloc.start()
+    quality.Text().fit(x, y, np.ones(3000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
+def test_a_worker_remembers_only_the_ids_of_words():
+    """BPE's memory stays in the workers that the pipeline uses again."""
+    from lexispan.llm.bpe import Bpe, tokenizer_path
+
+    bpe, r = Bpe(tokenizer_path()), random.Random(2)
+    words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, 20_000, 500)]
+    list(bpe.encode(texts[:1]))
+    tracemalloc.start()
+    for t in texts[1:]:
+        list(bpe.encode([t]))
+    bpe.pairs.clear()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / 19_500 < 180
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_without_both_kinds_of_labels_all_is_kept(spark, labels):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -12,19 +12,20 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import kept_in_worker, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 800_000
-PAIRS_REMEMBERED = 1_000_000
+#: Words that a worker remembers: the older half goes but for those met since, which costs time only.
+REMEMBERED = 500_000
+PAIRS_REMEMBERED = 500_000
+#: Rows that a worker encodes at a time; a batch of Spark's may have 10,000 and more.
+SLICE = 512
 _SHIFT = 1 << 20
 _NEVER = 1 << 60
 
@@ -89,6 +90,7 @@ class Bpe:
         self.decimal = [str(i) for i in range(size)]
         #: Ids of words as bytes alone: with their decimal text beside them a worker takes 86 MB more when all are remembered.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.exact = 0
 
@@ -181,8 +183,8 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text the ids as decimal text and as little-endian 32-bit integers."""
-        if len(self.known) > REMEMBERED or not self.known:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2 or not self.known:
+            self.older, self.known = self.known, {}
             for s, i in self.added.items():
                 self.known[s] = np.array([i], dtype="<u4").tobytes()
         get, rows, new = self.known.get, [], set()
@@ -198,7 +200,7 @@ class Bpe:
             new.update(words[i] for i in gaps)
             rows.append((words, found, gaps))
         if new:
-            self.learn(list(new))
+            self.learn(met_again(new, self.known, self.older))
         for words, found, gaps in rows:
             for i in gaps:
                 found[i] = self.known[words[i]]
@@ -211,9 +213,15 @@ class Bpe:
         return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=4)
+def met_again(words: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+    """Move those of ``words`` that ``older`` has into ``known``; the others."""
+    found = [(w, older[w]) for w in words if w in older]
+    known.update(found)
+    return list(words.difference(w for w, _ in found))
+
+
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    return kept_in_worker(("bpe", path), lambda: Bpe(path))
 
 
 def _groups(values: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
@@ -246,7 +254,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             at = 0
             column = batch.column(batch.schema.get_field_index(text))
             for texts in _groups([t or "" for t in column.to_pylist()]):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What this worker keeps for later tasks, by its name: of one operator alone, as Spark uses workers again.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(name: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker; what another name keeps goes."""
+    if name not in _KEPT:
+        let_go()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go() -> None:
+    """Give back the memory that an earlier operator's tasks keep in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+
 #: Bits of the filters that spare shuffles: 16 MB at any size.
 _FILTER_BITS = 1 << 27
 

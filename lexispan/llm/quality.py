@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import let_go, materialise, table
 
 LABELLED = 12_000
 ROUNDS = 2
@@ -278,6 +278,7 @@ def _gathered(docs: DataFrame, extra: list[str]) -> tuple[Rows, list[list]]:
     """Features of a bounded table, in the order of ``extra``, and the columns ``extra``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in _slices(batches):
             x = _features(batch)
             arrays = [pa.array(list(np.hstack([x.shape, x.meta])), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x.cells)]), pa.int32()), pa.array(np.concatenate([*x.cells, np.empty(0, np.int16)]), pa.int16()))]
@@ -303,6 +304,7 @@ def _surest(docs: DataFrame, model: CoTrained, known: np.ndarray, taken: set, ad
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         best: dict[tuple[int, int], list] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
         for batch in _slices(batches):
             ids = np.array([-(1 << 63) if d is None else d for d in batch.column(0).to_pylist()], dtype=np.int64)
@@ -373,6 +375,7 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
     fitted = model.text is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             parts = [model.scores(_features(part)) for part in _slices(iter([batch]))]
             a, b, s = (np.concatenate([np.empty(0), *own]) for own in zip(*parts, strict=True)) if parts else [np.empty(0)] * 3

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, materialise, maybe_in, table
+from .common import WORD, connected_components, let_go, materialise, maybe_in, table
 
 _WORDS = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,6 +80,7 @@ def add_fingerprints(docs: DataFrame, size: int, longs: int = 1, distinct: bool
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             fps = []
             for t in batch.column(batch.schema.get_field_index(text)):
@@ -214,6 +215,7 @@ def _map_text(df: DataFrame, kept: list[str], schema: str, make, names: list[str
     """``kept`` columns and what ``make`` gives for each text, as columns ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         types = None
         for batch in batches:
             rows = [make(t.as_py() or "") for t in batch.column(batch.schema.get_field_index("text"))]
@@ -234,6 +236,7 @@ def heavy_cells(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for t in batch.column(0):

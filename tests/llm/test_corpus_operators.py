@@ -427,6 +427,61 @@ def test_a_worker_remembers_only_the_ids_of_words():
     assert held / 19_500 < 180
 
 
+class _Runs:
+    """Stands for a table: keeps what would run on a worker."""
+
+    def __init__(self, schema) -> None:
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+
+
+def test_the_next_operator_gets_the_memory_of_bpe_back(spark):
+    """The pipeline's stages share workers: words that BPE remembers took the classifier over an executor's memory."""
+    import pyarrow as pa
+
+    from lexispan.llm import bpe
+
+    docs = _Runs(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").schema)
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(50)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts), pa.array(["en"] * 600), pa.array(["a"] * 600), pa.array([450] * 600)], names=docs.columns)
+    steps = [lambda: quality.score(docs, quality.CoTrained(1.0)), lambda: simhash.add_fingerprints(docs, 5)]
+    for step in steps:
+        tracemalloc.start()
+        bpe.encode_documents(docs)
+        out = list(docs.run(iter([batch])))
+        assert sum(b.num_rows for b in out) == 600
+        held = tracemalloc.get_traced_memory()[0]
+        step()
+        del out
+        list(docs.run(iter([batch])))
+        left = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert held > 10e6 and left < 2e6
+
+
+def test_bpe_keeps_the_words_it_meets_and_forgets_the_others(monkeypatch):
+    from lexispan.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    own, r, learned = bpe.Bpe(bpe.tokenizer_path()), random.Random(4), Counter()
+    learn, most = own.learn, 0
+    own.learn = lambda words: (learned.update(words), learn(words))
+    often = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(100)]
+    for _ in range(100):
+        text = " " + " ".join(often + ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(200)])
+        ((_, raw),) = own.encode([text])
+        assert own.decode(np.frombuffer(raw, dtype="<u4")).decode() == text
+        most = max(most, len(own.known) + len(own.older))
+    assert all(learned[" " + w] == 1 for w in often)
+    assert most < 2 * (1000 + 310)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_without_both_kinds_of_labels_all_is_kept(spark, labels):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")

@@ -13,23 +13,26 @@ level: entries uint64, chunks uint8, bitmap (bit i of byte i // 8), directory ui
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer_path, words_of
-from .common import materialise, table
+from .bpe import met_again, tokenizer_path, words_of
+from .common import kept_in_worker, materialise, table
 
 END = 0
 #: Ids a segment holds, unless one document has more; segments end with a document.
 SEGMENT_IDS = 1 << 20
-REMEMBERED = 900_000
+#: Words that a worker remembers: the older half goes but for those met since, which costs time only.
+REMEMBERED = 1_000_000
+#: Words that the library gets as one text; longer ones take it more time a word.
+RUN = 500
 _BLOCK = 512
 
 
@@ -45,9 +48,9 @@ class DacSegment:
         while True:
             more = rest > 255
             bits = np.packbits(more, bitorder="little")
-            counts = np.add.reduceat(more, np.arange(0, len(more), _BLOCK), dtype=np.uint32) if len(more) else np.empty(0, np.uint32)
+            counts = np.add.reduceat(np.bitwise_count(bits).astype(np.uint32), np.arange(0, len(bits), _BLOCK // 8)) if len(bits) else np.empty(0, np.uint32)
             ranks = np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)[:-1]]) if len(counts) else counts
-            levels.append(((rest & 255).astype(np.uint8), bits, ranks))
+            levels.append((rest.astype(np.uint8), bits, ranks))  # the lowest eight bits
             rest = rest[more] >> 8
             if not len(rest):
                 return cls(levels)
@@ -125,30 +128,32 @@ class WordTokenizer:
         self.opens = np.zeros(max(byte_start) + 1, dtype=bool)
         self.opens[[i for i, x in byte_start.items() if x]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, words: list[str]) -> None:
         # Words of a blank and letters stay words when they stand one after the other.
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        for at in range(0, len(spaced), 5000):
-            run = spaced[at : at + 5000]
+        spaced: list[str] = []
+        rest: list[str] = []
+        for w in words:
+            (spaced if w[0] == " " and w[1:].isalpha() else rest).append(w)
+        for at in range(0, len(spaced), RUN):
+            run = spaced[at : at + RUN]
             ids = self._ids("".join(run))
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(run):
                 rest += run
                 continue
             raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), ids.nbytes]
-            for w, x, y in zip(run, cuts, cuts[1:], strict=False):
-                self.known[w] = raw[x:y]
+            self.known.update(zip(run, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         get, rows, new = self.known.get, [], set()
         for t in texts:
             if any(a in t for a in self.added):
@@ -160,7 +165,7 @@ class WordTokenizer:
             new.update(words[i] for i in gaps)
             rows.append((words, found, gaps))
         if new:
-            self.learn(list(new))
+            self.learn(met_again(new, self.known, self.older))
         for text, row in zip(texts, rows, strict=True):
             if row is None:
                 yield self._ids(text)
@@ -171,9 +176,9 @@ class WordTokenizer:
             yield np.frombuffer(b"".join(found), dtype="<u4")
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads that wait for words cost CPU
+    return kept_in_worker(("words", path), lambda: WordTokenizer(path))
 
 
 def write_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -71,6 +71,21 @@ def test_segments_are_checked():
         token_store.read_segment(raw[:-1] + b"\0")
 
 
+def test_the_library_gets_words_that_are_met_again_once(library, monkeypatch):
+    """A memory that starts anew as a whole took op8 over its CPU seconds."""
+    monkeypatch.setattr(token_store, "REMEMBERED", 2000)
+    own, r, asked = token_store.WordTokenizer(bpe.tokenizer_path()), random.Random(4), []
+    learn, most = own.learn, 0
+    own.learn = lambda words: (asked.extend(words), learn(words))
+    often = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(100)]
+    for _ in range(100):
+        text = " " + " ".join(often + ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(200)])
+        assert [x.tolist() for x in own.encode([text])] == [library.encode(text, add_special_tokens=False).ids]
+        most = max(most, len(own.known) + len(own.older))
+    assert all(asked.count(" " + w) == 1 for w in often)
+    assert most < 2 * (1000 + 310)
+
+
 def test_token_store_against_brute_force(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r for r in token_store.op8_token_store(spark, sf).collect()}

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
 Parquet to the shared folder and reads it again as the next stage's documents. All stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Stages with Python workers bound the session's
+batches to them, as the next stage's JVM still holds what larger ones took.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispan.llm.bpe import encode_documents
-from lexispan.llm.common import DOC_COLUMNS, materialise, table
+from lexispan.llm.common import DOC_COLUMNS, materialise, small_batches, table
 from lexispan.llm.line_dedup import dedup_lines
 from lexispan.llm.mixing import by_length, mix
 from lexispan.llm.quality import classify
@@ -20,6 +21,7 @@ from lexispan.llm.simhash import drop_near_duplicates
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
+    small_batches(spark)
     return classify(docs.select(*DOC_COLUMNS), table(spark, sf_dir, "labels")).where("keep").select(*DOC_COLUMNS)
 
 
@@ -30,6 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return drop_near_duplicates(docs.select(*DOC_COLUMNS))
 
 
@@ -44,6 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row of the mix, with digests of ids and decoded text."""
+    small_batches(spark)
     return encode_documents(docs.select(*DOC_COLUMNS), ids=True).select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 

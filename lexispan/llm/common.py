@@ -42,6 +42,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of rows on its way to a Python worker.
+BATCH_BYTES = 2_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to this session's Python workers in batches of about 2 MB, unless its caller has set a size.
+
+    Spark's own bound (64 MB, 10,000 rows) makes a batch of a whole task's texts. An executor's JVM copies it several
+    times outside its heap, and the C library keeps such blocks in each thread's arena. Results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 #: What this worker keeps for later tasks, by its name: of one operator alone, as Spark uses workers again.
 _KEPT: dict[tuple, object] = {}
 

@@ -1,8 +1,12 @@
 """The pipeline's stages: contract, effect of decisions, and agreement with the operators."""
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexispan.llm.bpe import Bpe, tokenizer_path
-from lexispan.llm.common import DOC_COLUMNS
+from lexispan.llm.common import BATCH_BYTES, DOC_COLUMNS
 
 
 def test_stages_in_order_take_effect(spark, sf):
@@ -30,6 +34,34 @@ def test_stages_in_order_take_effect(spark, sf):
         assert ",".join(map(str, r.token_ids)) == ids and r.n_tokens == len(r.token_ids)
 
 
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _largest_batch(spark):
+    """Bytes of the largest batch that a Python worker gets of 6000 texts of 2000 bytes in one task."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    found = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("ab cd efgh"), 200).alias("text")).mapInArrow(run, "n long, size long").collect()
+    assert sum(r.n for r in found) == 6000
+    return max(r.size for r in found)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.encode])
+def test_stages_with_python_workers_bound_their_batches(spark, sf, none, stage):
+    spark.conf.unset(BOUND)
+    try:
+        stage(spark, none, sf)
+        assert _largest_batch(spark) < 1.2 * BATCH_BYTES
+        spark.conf.set(BOUND, "500000b")  # a caller's own bound stays
+        stage(spark, none, sf)
+        assert _largest_batch(spark) < 600_000
+    finally:
+        spark.conf.unset(BOUND)
+
+
 def test_registered_only_where_present():
     import __spark_entry__ as entry
 

@@ -208,6 +208,8 @@ CELLS = 1 << 20
 HEAVY = 2.0**-20
 #: Shingles of a set that its row carries beyond its prefix, for splitting.
 SPARE = 6
+#: Longs of the bitmap of a set's first shingles.
+MARKS = 8
 _LONGS = 2
 
 
@@ -261,17 +263,18 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def _add_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id, key, h1, h2, n, f1, f2, first``: digest, size, SimHash and first shingles of each text's set."""
+    """``doc_id, key, h1, h2, n, f1, f2, first, marks``: digest, size, SimHash, first shingles and their bitmap of each text's set."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_cells(docs, size))  # 8 MB
 
     def make(text: str) -> tuple:
         h = np.unique(shingle_hashes(text, size))
         digest = xxhash.xxh3_128_intdigest(h.tobytes())
         ordered = h[np.lexsort((h, heavy.value[(h >> np.uint64(44)).astype(np.int64)]))] if len(h) else h
-        return (_signed(digest >> 64), _signed(digest & (2**64 - 1)), len(h), *fingerprint(h, _LONGS), ordered[: prefix_length(len(h), similarity) + SPARE].view(np.int64))
+        first = ordered[: prefix_length(len(h), similarity) + SPARE]
+        return (_signed(digest >> 64), _signed(digest & (2**64 - 1)), len(h), *fingerprint(h, _LONGS), first.view(np.int64), _marks(first))
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    return _map_text(keyed, ["doc_id", "key"], "h1 long, h2 long, n long, f1 long, f2 long, first array<bigint>", make, ["h1", "h2", "n", "f1", "f2", "first"])
+    return _map_text(keyed, ["doc_id", "key"], "h1 long, h2 long, n long, f1 long, f2 long, first array<bigint>, marks array<bigint>", make, ["h1", "h2", "n", "f1", "f2", "first", "marks"])
 
 
 def _needed(similarity: float) -> Column:
@@ -297,14 +300,27 @@ def longer_prefixes(nodes: DataFrame, similarity: float):
     return split
 
 
+def _marks(first: np.ndarray) -> np.ndarray:
+    """A bitmap of shingles: bits that two bitmaps don't share are as many shingles at least that the sets don't."""
+    bits = np.zeros(64 * MARKS, dtype=bool)
+    bits[(first & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _may_be_alike(x: Column, y: Column, similarity: float) -> Column:
-    """Whether sizes and SimHash let two sets be this similar, by six standard deviations; small sets by size alone."""
+    """Whether two sets may be this similar: by size, by SimHash within six standard deviations (not small sets), by first shingles.
+
+    In an order common to all, a shingle that two sets share stands among the first of both, or
+    else beyond the first of the set whose first end earlier; so first shingles miss no link.
+    """
     bits = 64 * _LONGS
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = bits * differ + 6 * math.sqrt(bits * differ * (1 - differ))
     small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
     far = hamming(x["f1"], y["f1"]) + hamming(x["f2"], y["f2"])
-    return (small >= similarity * large) & ((small <= EXACT) | (far <= most))
+    apart = sum((hamming(x["marks"][i], y["marks"][i]) for i in range(MARKS)), F.lit(0))
+    shared = (x["p"] + y["p"] - apart) / 2 + F.greatest(x["n"] - x["p"], y["n"] - y["p"])
+    return (small >= similarity * large) & ((small <= EXACT) | (far <= most)) & (shared >= (x["n"] + y["n"]) * (similarity / (1 + similarity)) - 1e-6)
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -316,16 +332,17 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     links survive need about 3 n^0.24 keys each (110 for 2e5 texts, 800 for 1e9). So candidates
     share one of their first 0.2 n + 1 shingles in an order common to all, frequent ones last
     (prefix filtering: a fifth of the text's words whatever the number of texts), and SimHash
-    verifies them by its Hamming distance over 128 bits before the exact similarity does.
+    verifies them by its Hamming distance over 128 bits, and their first shingles by how many
+    they share, before the exact similarity does.
     """
     rows = materialise(_add_sets(docs, size, similarity), "shingled")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep")
-    nodes = rows.groupBy("h1", "h2").agg(rep, *[F.first(c).alias(c) for c in ("n", "f1", "f2", "first")])
+    nodes = rows.groupBy("h1", "h2").agg(rep, *[F.first(c).alias(c) for c in ("n", "f1", "f2", "first", "marks")])
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     each = nodes.select("node", F.explode(F.slice("first", F.lit(1), F.greatest(F.col("n") - _needed(similarity) + 1, F.lit(0)).cast("int"))).alias("shingle"))
     common = materialise(each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle"), "common")
     members = maybe_in(each, common, "shingle", "some").where("some").select(F.col("shingle").alias("key"), "node", F.array("shingle").alias("chosen"))
-    sketches = nodes.select("node", F.struct("n", "f1", "f2").alias("sketch"))
+    sketches = nodes.select("node", F.struct("n", "f1", "f2", F.size("first").alias("p"), "marks").alias("sketch"))
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -504,3 +504,22 @@ def test_next_in_order_with_far_ids(spark):
     got = {r.k1: r.next.k1 for r in weighted_sampling.next_in_order(keys, rows_a_bin=50).collect()}
     order = [i for i, d in sorted(enumerate(ids), key=lambda x: (x[1] is None, -(x[1] or 0)))]
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_small_texts_with_a_passage_in_common_make_few_pairs(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(32)]
+    texts = [" ".join([*passage, *(f"own{i}x{j}" for j in range(6))]) for i in range(300)]
+    texts += [texts[0] + " more", texts[7].removesuffix(" own7x5"), "front " + texts[7]]
+    compared, link = [], simhash.link_components
+
+    def counted(members, close, sketches, verify, *rest):
+        return link(members, close, sketches, lambda pairs: compared.append(pairs.count()) or verify(pairs), *rest)
+
+    monkeypatch.setattr(simhash, "link_components", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, labels = simhash.near_duplicate_groups(docs)
+    groups: dict[int, set[int]] = {}
+    for r in rows.join(labels, "node").collect():
+        groups.setdefault(r.label, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[0, 300], [7, 301, 302]]
+    assert sum(compared) < 5 * len(texts)  # before first shingles were compared: 45,000

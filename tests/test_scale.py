@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lexispan.operators import classify, guards, recall, tokens
+from lexispan.operators import classify, evaluation, guards, recall, tokens
 
 
 @pytest.fixture
@@ -63,3 +63,59 @@ def test_sentences_read_texts_once(spark, unbroadcast):
     found = tokens.sentences(docs)
     assert dealt(found) == ["doc_id"]
     assert sorted((r.doc_id, r.sent_idx, r.start, r.end) for r in found.collect()) == [(1, 0, 0, 4), (1, 1, 5, 20), (4, 0, 0, 13)]
+
+
+def test_sections_and_zones_without_joins(spark, unbroadcast):
+    docs = spark.createDataFrame([(1, "1. A chip. 2. The chip of claim 1. 3. (A fan)"), (2, "Abstract of it. Methods and more"), (3, "plain"), (4, "")], "doc_id long, text string")
+    claims, headings = tokens.claims(docs), tokens.heading_sections(docs)
+    kinds = claims.select("doc_id", "kind", "start", "end").unionByName(headings.select("doc_id", "kind", "start", "end"))
+    zones = evaluation.evaluation_zones(docs, kinds)
+    assert all("Join" not in plan(x) for x in (claims, headings, zones))
+    assert sorted((r.start, r.end, r.depends_on) for r in claims.collect()) == [(0, 11, None), (11, 35, 1), (35, 45, None)]
+    assert sorted((r.doc_id, r.kind, r.start, r.end) for r in headings.collect() if r.doc_id != 2) == [(1, "other", 0, 45), (3, "other", 0, 5)]
+    assert sorted((r.doc_id, r.lo, r.hi) for r in zones.collect() if r.doc_id != 2) == [(1, 0, 11), (3, 0, 5)]
+
+
+def test_gold_reads_a_long_text_once(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    text = " ".join(rng.choice(words) for _ in range(20000))
+    surfaces = sorted(set(re.findall("[a-z]{5,} [a-z]{5,}", text)), key=lambda x: (-len(x), x))
+    began = time.time()
+    found = evaluation.occurrences(text, surfaces)
+    assert time.time() - began < 5  # one search for each of 10,000 surfaces takes minutes
+    assert {s for s, f in zip(surfaces, found, strict=True) if f} == set(surfaces)
+    for s, f in list(zip(surfaces, found, strict=True))[::500]:
+        assert f == [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9]){s}(?![A-Za-z0-9])", text)]
+
+
+def test_gold_of_odd_surfaces():
+    text = "AI-chip, ai-chip; ſun Sun (x) café sunny a b a b a"
+    got = dict(zip(s := ["ai-chip", "sun", "(x)", "café", "a b a"], evaluation.occurrences(text, s), strict=True))
+    assert got == {"ai-chip": [(0, 7), (9, 16)], "sun": [(18, 21), (22, 25)], "(x)": [(26, 29)], "café": [(30, 34)], "a b a": [(41, 46)]}
+    assert evaluation.occurrences("A b a b a, sun", ["a b a", "SUN"]) == [[(0, 5)], [(11, 14)]]
+
+
+def test_injection_verdicts_read_clean_texts_once(spark):
+    long = "Plain words here. " * 40
+    texts = ["system: do this now and that. Fine words here", long + "You must extract it. " + long, "xignore all previous instructions", "nothing here", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = tokens.sentence_of(tokens.tokens(docs).select("doc_id", "start", "end"), tokens.sentences(docs)).join(docs, "doc_id")
+    lo = F.greatest(F.lit(0), F.col("start") - 240)
+    one_by_one = guards.injection_verdict(F.substring("text", F.col("ev_start") + 1, F.col("ev_end") - F.col("ev_start")), F.substring("text", lo + 1, F.col("end") + 240 - lo))
+    want = sorted(map(tuple, spans.select("doc_id", "start", one_by_one.alias("verdict")).collect()))
+    got = guards.injection_verdicts(docs)
+    assert sorted(map(tuple, got.collect())) == want and {v for _, _, v in want} == {"pass", "abstain", "reject"}
+
+
+def test_alias_keys_are_worked_out_once_for_a_long_form(spark, unbroadcast):
+    from lexispan.operators import score
+
+    pairs = spark.createDataFrame([("net", "the sensor networks"), ("sen", "the sensor networks"), ("net", "network"), ("net", "networks")], "short string, long string")
+    found = score.alias_map(pairs)
+    assert dealt(found)[-1] == "long" or dealt(found)[0] == "long"  # dealt out by long form before keys
+    assert {(r.short_key, r.long_key) for r in found.collect()} == {("net", "network"), ("sen", "sensor network")}

@@ -119,3 +119,33 @@ def test_alias_keys_are_worked_out_once_for_a_long_form(spark, unbroadcast):
     found = score.alias_map(pairs)
     assert dealt(found)[-1] == "long" or dealt(found)[0] == "long"  # dealt out by long form before keys
     assert {(r.short_key, r.long_key) for r in found.collect()} == {("net", "network"), ("sen", "sensor network")}
+
+
+def test_identity_pairs_are_made_once(spark, unbroadcast):
+    from lexispan.operators import score
+
+    keys = ["heat pump", "air heat pump", "big air heat pump", "pump", "cold air", "air", "big pump"]
+    groups = spark.createDataFrame([(k, 9 - i) for i, k in enumerate(keys)], "key string, n long")
+    head = lambda k: k.split()[-1]
+    for most in (1, 2, 40):
+        want = set()
+        for k in keys:
+            top = sorted((x for x in keys if head(x) == head(k)), key=keys.index)[:most]
+            want |= {tuple(sorted((k, a))) for a in top if a != k}
+            want |= {tuple(sorted((k, p))) for p in keys if p != k and f" {p} " in f" {k} "}
+        pairs = score.nil_pairs(groups, most)
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert "a, b" not in dealt(pairs)
+
+
+def test_texts_and_series_keep_the_given_number_of_parts(spark, unbroadcast):
+    from lexispan.operators import trends
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert "REPARTITION_BY_NUM" in plan(tokens.tokens(docs)) and "REPARTITION_BY_COL" not in plan(tokens.tokens(docs))
+    mentions = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (3, "y")], "doc_id long, key string")
+    years = spark.createDataFrame([(1, 2001), (2, 2001), (3, None)], "doc_id long, year int")
+    series = trends.series_year(mentions, years)
+    assert "doc_id, key" not in dealt(series)
+    assert [(r.key, r.year, r.n_docs) for r in series.collect()] == [("x", 2001, 2)]

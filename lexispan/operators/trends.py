@@ -16,8 +16,10 @@ def year_totals(documents: DataFrame) -> DataFrame:
 
 def series_year(mentions: DataFrame, documents: DataFrame) -> DataFrame:
     """``key, year, n_docs``: in how many dated documents of a year a key occurs."""
-    once = mentions.select("doc_id", "key").distinct()
-    return once.join(documents.where("year IS NOT NULL"), "doc_id").groupBy("key", "year").agg(F.count("*").alias("n_docs"))
+    dealt = mentions.select("doc_id", "key").repartition(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    # Told apart where a document's mentions are: parts stay as many as given, and few enough rows for one task.
+    once = dealt.join(documents.where("year IS NOT NULL"), "doc_id").select("doc_id", "key", "year").distinct()
+    return once.groupBy("key", "year").agg(F.count("*").alias("n_docs"))
 
 
 def series_role(mentions: DataFrame, documents: DataFrame) -> DataFrame:
